@@ -9,22 +9,52 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, chat, idfiles, lcp, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lcp_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lcp.compare_neighbours(_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text").unionByName(own)
+    return chat.read_back(chat.render(chat.fold(chat.log_of_turns(rows))))
+
+
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.read(idfiles.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op7_simhash_components)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_lcp_fingerprints, op2_byte_bpe, op4_chat_format, op6_id_files, op7_simhash_components)}
+
+#: The escapes of the template, in DuckDB's regular expressions.
+_ESCAPED = r"regexp_replace({}, '([\\#<{}])', '\\\1', 'g')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_chat_format": f"""
+        with own as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select -7, 0, 'user', '\\### Assistant: </turn> ok'
+            union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+            cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+            cast(sum(length('### ' || {_ESCAPED.format("role", ":")} || ': ' || {_ESCAPED.format("text", "")} || '</turn>' || chr(10))) as bigint) as formatted_chars
+        from own group by conv_id""",
+}
