@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, idfiles, lcp, simhash
+from . import bpe, chat, idfiles, lcp, quality, simhash, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold(chat.log_of_turns(rows))))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+    gone = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read(idfiles.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1))
 
@@ -40,7 +46,14 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_lcp_fingerprints, op2_byte_bpe, op4_chat_format, op6_id_files, op7_simhash_components)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % 5 == 0
+    return quality.scored(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lcp_fingerprints, op2_byte_bpe, op4_chat_format, op5_suffix_dedup, op6_id_files, op7_simhash_components, op10_quality)}
 
 #: The escapes of the template, in DuckDB's regular expressions.
 _ESCAPED = r"regexp_replace({}, '([\\#<{}])', '\\\1', 'g')"
