@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, idfiles, lcp, quality, simhash, suffix_dedup
+from . import bpe, chat, idfiles, lcp, quality, simhash, suffix_dedup, suffix_tree_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
@@ -53,7 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lcp_fingerprints, op2_byte_bpe, op4_chat_format, op5_suffix_dedup, op6_id_files, op7_simhash_components, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_lcp_fingerprints, op2_byte_bpe, op3_suffix_tree_lm, op4_chat_format, op5_suffix_dedup, op6_id_files, op7_simhash_components, op10_quality)}
 
 #: The escapes of the template, in DuckDB's regular expressions.
 _ESCAPED = r"regexp_replace({}, '([\\#<{}])', '\\\1', 'g')"
