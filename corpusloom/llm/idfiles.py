@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import partitions, prepare, stored
+from .common import mix64, partitions, prepare, stored
 from .ordering import bounds, range_of
 
 #: Ids in one block, beyond which the next begins.
@@ -32,6 +32,12 @@ BLOCK_IDS = 1 << 20
 #: One select position is kept for each so many documents.
 SAMPLED = 64
 REMEMBERED = 300_000
+#: Characters of text that are encoded together.
+TOGETHER = 1 << 21
+PLACED = mix64(np.arange(1, 257, dtype=np.uint64))
+#: ASCII punctuation that never joins with a letter before it.
+APART = np.isin(np.arange(256), np.frombuffer(b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~', dtype=np.uint8))
+BY_PLACE = mix64(np.arange(1001, 5097, dtype=np.uint64)) | np.uint64(1)
 HEAD = struct.Struct("<4sBBHQQI")
 MAGIC = b"LOOM"
 
@@ -111,31 +117,95 @@ def unpack(block: bytes) -> tuple[list, Boundaries, np.ndarray]:
     return [d if ok else None for d, ok in zip(own.tolist(), there.tolist(), strict=True)], found, ids
 
 
-class Words(dict):
-    """Piece between two spaces -> its ids as bytes, by the library, remembered.
+class Words:
+    """Encodes each piece of a text by the library once, and remembers it.
 
-    The tokenizer drops white space before it merges, so pieces that spaces part don't interact.
+    The tokenizer drops white space before it merges, and begins anew where punctuation other
+    than an apostrophe follows a letter, so pieces parted there don't interact. It composes
+    characters and then folds case, so an ASCII letter may be folded first unless a character
+    outside ASCII, which could be a combining mark, follows. The pieces of a batch are told apart by hash in numpy, and compared byte for byte with the
+    one that stands for them.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.id_bytes = 2 if self.library.get_vocab_size(True) <= 1 << 16 else 4
-        self.kind, self.old = f"<u{self.id_bytes}", {}
+        self.kind = f"<u{self.id_bytes}"
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = np.array(self.library.encode(piece, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-        if len(piece) <= 64:
-            if len(self) >= REMEMBERED:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+    def one(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split(" ")))
+    def remember(self, piece: bytes, ids: bytes) -> None:
+        if len(piece) <= 64:
+            if len(self.young) >= REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[piece] = ids
+
+    def of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces; those of letters only are sent to the library together, as one text."""
+        out, letters = [], []
+        for i, piece in enumerate(pieces):
+            ids = self.young.get(piece)
+            if ids is None:
+                ids = self.old.get(piece)
+                if ids is None:
+                    text = piece.decode()
+                    if text.isalpha():
+                        letters.append((i, text))
+                    else:
+                        ids = self.one(text)
+                if ids is not None:
+                    self.remember(piece, ids)
+            out.append(ids)
+        for at in range(0, len(letters), 1000):
+            part = letters[at : at + 1000]
+            found = self.library.encode(" ".join(text for _, text in part), add_special_tokens=False)
+            word = np.array(found.word_ids, dtype=np.int64)
+            cut = np.searchsorted(word, np.arange(len(part) + 1)).tolist()
+            whole = len(word) > 0 and int(word[-1]) == len(part) - 1
+            ids = np.array(found.ids, dtype=self.kind)
+            for k, (i, text) in enumerate(part):
+                out[i] = ids[cut[k] : cut[k + 1]].tobytes() if whole else self.one(text)
+                self.remember(pieces[i], out[i])
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if not texts:
+            return []
+        data = np.frombuffer(" ".join(texts).encode() + b" ", dtype=np.uint8).copy()
+        upper = (data[:-1] - 65 < 26) & (data[1:] < 128)
+        data[:-1][upper] += 32
+        there = data != 32
+        begins = there.copy()
+        begins[1:] &= ~there[:-1] | APART[data[1:]] & (data[:-1] - 97 < 26)
+        counts = np.cumsum([len(t.encode()) + 1 for t in texts])
+        letters, begins = data[there], np.flatnonzero(begins)
+        owner = np.searchsorted(counts, begins, side="right")
+        lengths = np.zeros(len(texts), dtype=np.int64)
+        if not len(begins):
+            return [b""] * len(texts)
+        first = (np.cumsum(there) - 1)[begins]
+        sizes = np.diff(np.r_[first, len(letters)])
+        joined = letters.tobytes()
+        place = np.arange(len(letters)) - np.repeat(first, sizes)
+        h = mix64(np.add.reduceat(PLACED[letters] * BY_PLACE[place % len(BY_PLACE)], first))
+        _, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
+        stands = rep[inverse]
+        same = (sizes[stands] == sizes).all() and bool((letters == letters[np.repeat(first[stands], sizes) + place]).all())
+        if not same:
+            rep = inverse = np.arange(len(first))
+        values = self.of([joined[a : a + n] for a, n in zip(first[rep].tolist(), sizes[rep].tolist(), strict=True)])
+        width = np.array([len(v) for v in values]) // self.id_bytes
+        flat = np.frombuffer(b"".join(values), dtype=self.kind)
+        own = width[inverse]
+        np.add.at(lengths, owner, own)
+        till = np.cumsum(own)
+        ids = flat[np.repeat((np.cumsum(width) - width)[inverse] - (till - own), own) + np.arange(int(till[-1]))].tobytes()
+        cut = (np.cumsum(np.r_[0, lengths]) * self.id_bytes).tolist()
+        return [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
 @functools.cache
@@ -153,7 +223,14 @@ def encode(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_c
         for b in batches:
             own = words(path)
             end = np.array([end_id], dtype=own.kind).tobytes()
-            ids = [own.encode(t or "") + end for t in b.column(len(rest) + 1).to_pylist()]
+            ids, held, size = [], [], 0
+            for t in b.column(len(rest) + 1).to_pylist():
+                held.append(t or "")
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    ids += own.encode(held)
+                    held, size = [], 0
+            ids = [i + end for i in ids + own.encode(held)]
             yield pa.record_batch([*b.columns[: len(rest) + 1], pa.array(ids, pa.binary())], names=[*rest, id_col, "ids"])
 
     src = df.select(*rest, id_col, text_col)
