@@ -373,26 +373,28 @@ def _cut(buckets: int, names: list[str]):
             rest = c.rest() if names else None
             n = len(c.doc_ids)
             for at in range(0, n, 200):
-                kept, spans, sizes = [], [], []
+                kept, texts, spans, sizes = [], [], [], []
                 for i in range(at, min(n, at + 200)):
                     lo, hi = c.ends[i], c.ends[i + 1]
                     g = gone[lo:hi]
                     kept.append(c.data[lo:hi][~g].tobytes())
+                    texts.append(kept[-1].decode("utf-8", "ignore"))
                     step = np.diff(np.r_[0, g.astype(np.int8), 0])
                     spans.append([{"start": s, "end": e} for s, e in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True)])
                     sizes.append(int(hi - lo))
-                own = [pa.array(c.doc_ids[at : at + 200], pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
+                own = [pa.array(c.doc_ids[at : at + 200], pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary()), pa.array(texts, pa.string())]
                 more = [rest.column(x).slice(at, 200).combine_chunks() for x in names] if names else []
                 more = [m.chunk(0) if isinstance(m, pa.ChunkedArray) else m for m in more]
-                yield pa.record_batch([*own, *more], names=["doc_id", "n_bytes", "removed", "kept", *names])
+                yield pa.record_batch([*own, *more], names=["doc_id", "n_bytes", "removed", "kept", "kept_text", *names])
 
     return run
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, n_bytes, removed array<struct<start,end>>, kept binary`` and the ``rest`` columns for each row.
+    """``doc_id, n_bytes, removed array<struct<start,end>>, kept binary, kept_text`` and the ``rest`` columns for each row.
 
-    ``removed`` are the maximal runs of removed bytes, as byte offsets into the text.
+    ``removed`` are the maximal runs of removed bytes, as byte offsets into the text. ``kept_text``
+    is ``kept`` without what is left of characters of which bytes were removed.
     """
     spark = df.sparkSession
     buckets = partitions(spark)
@@ -405,5 +407,5 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: t
     judged = stored(chunks.spread(sent, buckets).mapInArrow(_judge, "chunk bigint, bucket int, blob binary"), "judged")
     free(spark)
     whole = known.join(chunks.answers(judged, "judged"), "chunk", "left")
-    schema = StructType.fromDDL("doc_id bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary")
+    schema = StructType.fromDDL("doc_id bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary, kept_text string")
     return whole.mapInArrow(_cut(buckets, list(rest)), StructType([*schema.fields, *(df.schema[c] for c in rest)]))
