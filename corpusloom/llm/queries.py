@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, idfiles, lcp, quality, simhash, suffix_dedup, suffix_tree_lm
+from . import block_labeller, bpe, chat, decontaminate, idfiles, lcp, quality, simhash, suffix_dedup, suffix_tree_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_labeller.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.leaks(docs, _table(spark, sf_dir, "benchmark"))
@@ -63,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lcp_fingerprints, op2_byte_bpe, op3_suffix_tree_lm, op4_chat_format, op5_suffix_dedup, op6_id_files, op7_simhash_components, op9_decontaminate, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_lcp_fingerprints, op2_byte_bpe, op3_suffix_tree_lm, op4_chat_format, op5_suffix_dedup, op6_id_files, op7_simhash_components, op8_main_text, op9_decontaminate, op10_quality)}
 
 #: The escapes of the template, in DuckDB's regular expressions.
 _ESCAPED = r"regexp_replace({}, '([\\#<{}])', '\\\1', 'g')"
