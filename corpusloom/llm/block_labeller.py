@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare
+from .common import prepare, tidy
 from .html_blocks import PATHS, WORDS, Block, blocks, path_features, word_features
 from .page_samples import Maker
 
@@ -238,4 +238,4 @@ def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("pag
             yield pa.record_batch([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[: len(keep)])
-    return src.mapInArrow(run, f"{kinds}, text string")
+    return src.mapInArrow(tidy(run), f"{kinds}, text string")

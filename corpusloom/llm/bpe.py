@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import prepare
+from .common import prepare, tidy
 
 #: Distinct pre-tokens in each of the two generations that a worker remembers.
 REMEMBERED = 300_000
@@ -165,7 +165,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[id_col, "ids"])
 
     src = df.select(id_col, text_col)
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>")
+    return src.mapInArrow(tidy(run), f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -178,7 +178,7 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
             yield pa.record_batch([b.column(0), pa.array([c.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())], names=[id_col, "decoded"])
 
     src = df.select(id_col, ids_col)
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, decoded binary")
+    return src.mapInArrow(tidy(run), f"`{id_col}` {src.schema[0].dataType.simpleString()}, decoded binary")
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,4 +197,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
             yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decodeds, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = df.select(id_col, text_col)
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(tidy(run), f"`{id_col}` {src.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

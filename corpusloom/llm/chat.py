@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, tidy
 
 HEADER, CLOSE = "### ", "</turn>\n"
 SETS = ("message", "edit", "regenerate")
@@ -120,7 +120,7 @@ def read_back(turns: DataFrame) -> DataFrame:
         return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     by = turns.repartition("conv_id").sortWithinPartitions("conv_id", "place", "message_id").select(F.col("conv_id").cast("bigint"), "formatted", "loss_start", "loss_end")
-    return by.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return by.mapInArrow(tidy(run), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def log_of_turns(rows: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch. Texts can be long; a Python worker holds one batch.
@@ -63,6 +65,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run):
+    """A function of Arrow batches that gives its worker's free memory back when a partition is done.
+
+    Workers stay for later tasks beside those of other stages; without this each keeps its peak.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return wrapped
+
+
 def crc_of_id(doc_id) -> int:
     """crc32 of the id in decimal; a null id counts as the text ``null``."""
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode())

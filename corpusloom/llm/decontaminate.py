@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import mix64, prepare
+from .common import mix64, prepare, tidy
 
 N = 2
 RARE = 1e-4
@@ -176,7 +176,7 @@ def _counts(docs: DataFrame, text_col: str, words: np.ndarray) -> tuple[dict[int
             part = slice(at, at + 50_000)
             yield pa.record_batch([pa.array(words[part].view(np.int64)), pa.array(count[part]), *(pa.array([x if at == 0 and i == 0 else 0 for i in range(len(words[part]))], pa.int64()) for x in (total, rows))], names=["word", "n", "total", "docs"])
 
-    got = docs.select(text_col).mapInArrow(run, "word bigint, n bigint, total bigint, docs bigint").groupBy("word").agg(F.sum("n"), F.sum("total"), F.sum("docs")).collect()
+    got = docs.select(text_col).mapInArrow(tidy(run), "word bigint, n bigint, total bigint, docs bigint").groupBy("word").agg(F.sum("n"), F.sum("total"), F.sum("docs")).collect()
     chance = {r[0] & (1 << 64) - 1: r[1] for r in got}
     return chance, sum(r[2] for r in got), sum(r[3] for r in got)
 
@@ -223,5 +223,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 own = pa.array([x + y for x, y in zip(before, found, strict=True)], b.schema.field(len(b.schema) - 1).type)
                 yield pa.record_batch([*b.columns[:-1], own], names=b.schema.names)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidy(run), schema)
     return out

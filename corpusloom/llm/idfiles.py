@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import mix64, partitions, prepare, stored
+from .common import mix64, partitions, prepare, stored, tidy
 from .ordering import bounds, range_of
 
 #: Ids in one block, beyond which the next begins.
@@ -235,7 +235,7 @@ def encode(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_c
 
     src = df.select(*rest, id_col, text_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[: len(rest) + 1])
-    return src.mapInArrow(run, f"{kinds}, ids binary")
+    return src.mapInArrow(tidy(run), f"{kinds}, ids binary")
 
 
 def write(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,7 +270,7 @@ def write(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_co
             yield block()
 
     ordered = dealt.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
-    return stored(ordered.mapInArrow(blocks, "part int, number int, before bigint, n_docs bigint, n_ids bigint, block binary"), "ids")
+    return stored(ordered.mapInArrow(tidy(blocks), "part int, number int, before bigint, n_docs bigint, n_ids bigint, block binary"), "ids")
 
 
 def starts_of_parts(blocks: DataFrame) -> dict[int, int]:
@@ -294,4 +294,4 @@ def read(blocks: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(ids[at[i] : at[i + 1]].astype("<u4").tobytes()) for i in range(len(docs))]
                 yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(at[:-1] + (first[part] + before)), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.select("part", "before", "block").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return blocks.select("part", "before", "block").mapInArrow(tidy(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

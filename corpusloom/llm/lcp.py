@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, prepare
+from .common import mix64, partitions, prepare, tidy
 from .ordering import bounds, range_of
 
 BINS = {3: 96, 2: 32}
@@ -122,7 +122,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.record_batch([b.column(0), pa.array(hexes, pa.string())], names=[id_col, "fingerprint"])
 
     src = df.select(id_col, text_col)
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, fingerprint string")
+    return src.mapInArrow(tidy(run), f"`{id_col}` {src.schema[0].dataType.simpleString()}, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -188,4 +188,4 @@ def compare_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     yield from compared(rows)
                     rows, held, over = ([], 0, True) if tail else (rows[-1:], len(text), False)
 
-    return ordered.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(tidy(run), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, tidy
 
 #: Most labelled rows that training reads.
 SAMPLE = 3000
@@ -185,4 +185,4 @@ def scored(docs: DataFrame, net: ConvNet | None, id_col: str = "doc_id", text_co
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, partitions, prepare, stored
+from .common import drop_stored, partitions, prepare, stored, tidy
 
 SEED = 42
 MOST_BITS = 4
@@ -171,7 +171,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
     src = df.select(id_col, text_col)
-    return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, fp bigint")
+    return src.mapInArrow(tidy(run), f"`{id_col}` {src.schema[0].dataType.simpleString()}, fp bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -181,15 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
     shared folder. Only one count a round comes to the driver.
     """
 
-    def contracted(batches):
-        whole = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if whole:
-            node, root = roots(np.concatenate([x for x, _ in whole]), np.concatenate([y for _, y in whole]))
-            keep = node != root
-            for at in range(0, int(keep.sum()), 100_000):
-                yield pa.record_batch([pa.array(node[keep][at : at + 100_000]), pa.array(root[keep][at : at + 100_000])], names=["a", "b"])
-
-    now = stored(edges.mapInArrow(contracted, "a bigint, b bigint").distinct(), "edges")
+    now = stored(edges.distinct(), "edges")
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -229,7 +221,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
                 for at in range(0, len(x), 100_000):
                     yield pa.record_batch([pa.array(x[at : at + 100_000]), pa.array(root[at : at + 100_000])], names=["a", "b"])
 
-    dealt = nodes.mapInArrow(deal, "bucket bigint, fp bigint, node bigint").repartition(4 * partitions(spark), "bucket")
-    edges = dealt.mapInArrow(verify, "a bigint, b bigint").where("a <> b")
+    dealt = nodes.mapInArrow(tidy(deal), "bucket bigint, fp bigint, node bigint").repartition(4 * partitions(spark), "bucket")
+    edges = dealt.mapInArrow(tidy(verify), "a bigint, b bigint").where("a <> b")
     joined = nodes.join(components(edges), nodes["node"] == F.col("a"), "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return own.join(joined, "fp", "left").select(id_col, "fp", "component_id")

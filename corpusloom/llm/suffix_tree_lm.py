@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks
-from .common import crc_of_id, free, mix64, partitions, stored
+from .common import crc_of_id, free, mix64, partitions, stored, tidy
 
 DEPTH = 6
 LEAST_SHARE = 1e-4
@@ -234,7 +234,7 @@ class Tree:
 
 def learn(counted: DataFrame) -> Tree:
     """The tree over all words of the counted table. Only contexts of the least share come to the driver."""
-    found = counted.select("n", "words").mapInArrow(_gather_contexts, "key bigint, count bigint").groupBy("key").agg(F.sum("count").alias("count"))
+    found = counted.select("n", "words").mapInArrow(tidy(_gather_contexts), "key bigint, count bigint").groupBy("key").agg(F.sum("count").alias("count"))
     found = stored(found.withColumn("context", F.shiftrightunsigned("key", 8)), "contexts")
     of = found.groupBy("context").agg(F.sum("count").alias("total"))
     all_symbols = found.where("context = 0").agg(F.sum("count")).first()[0] or 0
@@ -314,19 +314,19 @@ def score(df: DataFrame, held_out=lambda doc_id: crc_of_id(doc_id) % 7 == 2, id_
     spark = df.sparkSession
     buckets = partitions(spark)
     own = chunks.build(df, id_col, text_col)
-    asked = own.mapInArrow(_ask(buckets, held_out), "bucket int, chunk bigint, n bigint, blob binary")
-    counted = stored(chunks.spread(asked, buckets).mapInArrow(_count, "bucket int, n bigint, tokens bigint, once bigint, twice bigint, known bigint, words binary, asked array<struct<chunk:bigint,blob:binary>>"), "counted")
+    asked = own.mapInArrow(tidy(_ask(buckets, held_out)), "bucket int, chunk bigint, n bigint, blob binary")
+    counted = stored(chunks.spread(asked, buckets).mapInArrow(tidy(_count), "bucket int, n bigint, tokens bigint, once bigint, twice bigint, known bigint, words binary, asked array<struct<chunk:bigint,blob:binary>>"), "counted")
     free(spark)
 
     def trained(batches):
         for b in batches:
             yield pa.record_batch([pa.array([sum(not held_out(d) for d in ids) for ids in b.column(0).to_pylist()], pa.int64())], names=["n"])
 
-    ends = own.select("doc_ids").mapInArrow(trained, "n bigint").agg(F.sum("n")).first()[0] or 0
+    ends = own.select("doc_ids").mapInArrow(tidy(trained), "n bigint").agg(F.sum("n")).first()[0] or 0
     words, distinct, once, twice = (x or 0 for x in counted.agg(*(F.sum(x) for x in ("tokens", "known", "once", "twice"))).first())
     sent = spark.sparkContext.broadcast(learn(counted))
-    answered = stored(counted.select("bucket", "n", "words", "asked").mapInArrow(_answer(sent), "chunk bigint, bucket int, blob binary, mass double"), "answered")
+    answered = stored(counted.select("bucket", "n", "words", "asked").mapInArrow(tidy(_answer(sent)), "chunk bigint, bucket int, blob binary, mass double"), "answered")
     mass = answered.agg(F.sum("mass")).first()[0] or 0.0
     state = Words(words + ends, distinct + (ends > 0), once + (ends == 1), twice + (ends == 2), mass)
     whole = own.join(chunks.answers(answered, "answers"), "chunk", "left")
-    return whole.mapInArrow(_sum(buckets, held_out, state, ends), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return whole.mapInArrow(tidy(_sum(buckets, held_out, state, ends)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
