@@ -193,7 +193,7 @@ class Tree:
             mine = np.flatnonzero(context >> _U(48) == d)
             by = mine[np.argsort(context[mine], kind="stable")]
             own, start = np.unique(context[by], return_index=True)
-            for state, a, b in zip(own.tolist(), start.tolist(), [*start[1:].tolist(), len(by)], strict=True):
+            for state, a, b in zip(own.tolist(), start.tolist(), [*start.tolist(), len(by)][1:], strict=True):
                 pick = by[a:b]
                 suffix = state & (1 << 8 * (d - 1)) - 1 | d - 1 << 48
                 parent = rows.get(suffix)
