@@ -41,7 +41,7 @@ select doc_id, '# Title' || {NL} || 'Data at https://zenodo.org/records/' || cas
 
 #: Caption texts of every form.
 CAPTIONS = f"""
-select doc_id, {case("doc_id", "'Figure 1 | Overview of the model runs'", "'b) Fig. 2. Second panel of the results'", "'(a)'", "'Fig. 7'", "'The lunar Fig. 1.disk forms in the run'", "'Differ- Table 2.ence between the disks'", "'Downloaded from somewhere'", "'www.nature.com 2020'", "'Table 3. Values of all runs'", "'Notes: one and two'", "''", "'Fig. 6. First part. Fig. 7. Second part of it'", "'Figure 3, a, first thing. b, second thing'", "cast(null as string)", "'a b)'", "'Extended Data Figure 4: more than enough text'", "'Plate 12. Sky at night'", "'Body text that refers to Figure 8 in passing'")} as text from {{docs}}"""
+select doc_id, {case("doc_id", "'Figure 1 | Overview of the model runs'", "'b) Fig. 2. Second panel of the results'", "'(a)'", "'Fig. 7'", "'The upper Fig. 1.layer grows in the cell'", "'Contrac- Table 2.tion of the samples'", "'Downloaded from somewhere'", "'www.nature.com 2020'", "'Table 3. Values of all runs'", "'Notes: one and two'", "''", "'Fig. 6. First part. Fig. 7. Second part of it'", "'Figure 3, a, first thing. b, second thing'", "cast(null as string)", "'a b)'", "'Extended Data Figure 4: more than enough text'", "'Plate 12. Sky at night'", "'Body text that refers to Figure 8 in passing'")} as text from {{docs}}"""
 
 #: Blocks of two pages for each document. Parents don't compete for the same texts.
 BLOCKS = f"""
