@@ -10,8 +10,8 @@ and each bucket hands on a spanning forest of its links, never all its pairs.
 
 Null and empty texts, and texts without words, have fingerprint zero and link like any other.
 Equal fingerprints are one node from the start, so groups of copies cost nothing to link.
-Rows with a null id keep their fingerprint; their component is that of the other rows with
-linked fingerprints, or null if all of those have null ids.
+Rows with a null id keep their fingerprint and link nothing; their component is that of the rows
+with an equal fingerprint that have an id, or null without any.
 """
 
 from __future__ import annotations
