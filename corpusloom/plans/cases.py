@@ -105,9 +105,8 @@ def function_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     own = F.col("doc_id").cast("string")
     given = lambda value: F.replace(F.lit(value), F.lit("@"), own)
-    out = None
-    for name, f, value, _ in CASES:
-        # the text is a column of its own: a pass names it many times
-        one = docs.select("doc_id", F.lit(name).alias("name"), given(value).alias("t")).select("doc_id", "name", f(F.col("t")).alias("result"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), given(value).alias("t")) for name, _, value, _ in CASES))).alias("c")).select("doc_id", "c.name", "c.t")
+    result = None
+    for name, f, _, _ in CASES:
+        result = F.when(F.col("name") == name, f(F.col("t"))) if result is None else result.when(F.col("name") == name, f(F.col("t")))
+    return rows.select("doc_id", "name", result.alias("result"))
