@@ -47,7 +47,10 @@ def list_start(md: Column) -> Column:
     In order: footnote, bracketed and numbered lists with five entries in the last 30 % (one of them
     numbered 1 to 3), author-year lists with a run of ten in the last 25 %.
     """
-    table, size = line_table(md), F.length(md)
+    return _start(line_table(md), F.length(md))
+
+
+def _start(table: Column, size: Column) -> Column:
     tail = lambda found, share: F.filter(found, lambda x: x["off"] >= F.floor(size * share))
     notes = marked(table, FOOTNOTE)
     late = F.filter(notes, lambda x: x["off"] >= F.floor(size / 2))
@@ -62,7 +65,10 @@ def list_start(md: Column) -> Column:
 
 def with_heading(md: Column) -> Column:
     """The text with a references heading before its trailing list; footnote entries become bullets. Running it again changes nothing."""
-    found = list_start(md)
+    return _headed(md, list_start(md))
+
+
+def _headed(md: Column, found: Column) -> Column:
     bullets = lambda text: F.regexp_replace(text, f"(?md){FOOTNOTE}", r"- $1. $2")
     head = F.regexp_replace(F.substring(md, F.lit(1), found["off"]), r"\s+$", "")
     tail = F.substring(md, found["off"] + 1, F.length(md))
@@ -70,6 +76,12 @@ def with_heading(md: Column) -> Column:
     return F.when(md.isNull() | (md == ""), md).when(md.rlike(REFERENCES_HEADING), bullets(md)).when(found.isNotNull(), joined).otherwise(md)
 
 
+def headed(docs: DataFrame, md: str = "md") -> DataFrame:
+    """``docs`` with ``with_heading`` applied; lines and the list's start are columns of their own, so each is computed once."""
+    rows = docs.withColumn("_lines", line_table(F.col(md))).withColumn("_found", _start(F.col("_lines"), F.length(md)))
+    return rows.withColumn(md, _headed(F.col(md), F.col("_found"))).drop("_lines", "_found")
+
+
 def footnote_references(notes: DataFrame) -> DataFrame:
     """Page footnotes ``doc_id, page_idx, y0, text`` that are references, as ``doc_id, entries array``.
 

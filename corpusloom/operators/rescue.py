@@ -51,12 +51,18 @@ def _greedy(page: pd.DataFrame) -> pd.DataFrame:
 
 
 def adopted(blocks: DataFrame) -> DataFrame:
-    """``doc_id, page_idx, parent, child, what, text, gap``: what each parent adopts, in page order, each text once.
+    """``doc_id, page_idx, parent, child, text, what, gap``: what each parent adopts, in page order, each text once.
 
-    Turns depend on one another within a page, so a page's few candidates go through one function.
+    Where no text is wanted by two parents the closest candidates are the answer. On the other
+    pages turns depend on one another, and a page's few candidates go through one function.
     """
-    found = candidates(blocks)
-    return found.groupBy("doc_id", "page_idx").applyInPandas(_greedy, found.schema)
+    page = Window.partitionBy("doc_id", "page_idx")
+    rivals = F.size(F.collect_set("parent").over(Window.partitionBy("doc_id", "page_idx", "child")))
+    found = candidates(blocks).withColumn("rivals", rivals).withColumn("contested", F.max("rivals").over(page) > 1).drop("rivals")
+    best = F.row_number().over(Window.partitionBy("doc_id", "page_idx", "parent", "what").orderBy("gap", "child"))
+    plain = found.where("not contested").withColumn("rank", best).where("rank = 1").drop("rank", "contested")
+    rest = found.where("contested").drop("contested")
+    return plain.unionByName(rest.groupBy("doc_id", "page_idx").applyInPandas(_greedy, rest.schema))
 
 
 def three_columns(blocks: DataFrame, sizes: DataFrame | None = None, width: float = 612.0) -> DataFrame:
@@ -72,37 +78,43 @@ def three_columns(blocks: DataFrame, sizes: DataFrame | None = None, width: floa
     return by_page.select("doc_id", "page_idx", ((F.col("blocks") >= 4) & (F.col("bins") >= 3) & (F.col("most") < 0.8 * F.col("blocks"))).alias("three_columns"))
 
 
-def by_label(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    """On three-column pages: the one parent of a kind that needs a caption gets the one text that begins with a label of that kind.
+def by_label(blocks: DataFrame, sizes: DataFrame | None = None, width: float = 612.0) -> DataFrame:
+    """On three-column pages the one parent of a kind that needs a caption gets the one text that begins with a label of that kind.
 
-    ``doc_id, page_idx, parent, child, text, reason``; kinds with several parents or texts stay as they are.
+    A caption that isn't one is only given up for a better one; kinds with several such parents or
+    texts stay as they are. All counts are windows within a page, so the blocks move once.
     """
-    own = blocks.join(pages.where("three_columns").select("doc_id", "page_idx"), ["doc_id", "page_idx"], "left_semi")
-    stub = c.is_stub(F.col("text"))
-    reason = F.when(F.coalesce(F.col("text"), F.lit("")) == "", "empty").when(c.is_watermark(F.col("text")), "watermark").when(~c.is_caption(F.col("text")) & ~stub, "misnested")
-    kind = F.when(F.col("type") == "table", "table").otherwise("fig")
-    one = Window.partitionBy("doc_id", "page_idx", "kind")
-    needing = own.where(F.col("type").isin(*PARENTS)).select("doc_id", "page_idx", kind.alias("kind"), F.col("idx").alias("parent"), reason.alias("reason")).where("reason is not null").withColumn("n", F.count("*").over(one)).where("n = 1").drop("n")
-    label = c.kind_and_number(F.col("text"))
-    texts = own.where(F.col("type") == "text").select("doc_id", "page_idx", label.alias("label"), F.col("idx").alias("child"), c.repair_label(F.trim("text")).alias("text")).where("label is not null").select("doc_id", "page_idx", "label.*", "child", "text")
-    unique = texts.withColumn("same", F.count("*").over(Window.partitionBy("doc_id", "page_idx", "kind", "number"))).where("same = 1").withColumn("n", F.count("*").over(one)).where("n = 1")
-    return needing.join(unique.select("doc_id", "page_idx", "kind", "child", "text"), ["doc_id", "page_idx", "kind"]).select("doc_id", "page_idx", "parent", "child", "text", "reason")
+    rows = blocks
+    if sizes is not None:
+        rows = rows.join(sizes.select("doc_id", "page_idx", F.col("width").alias("_width")), ["doc_id", "page_idx"], "left")
+    else:
+        rows = rows.withColumn("_width", F.lit(width))
+    over = lambda *more: Window.partitionBy("doc_id", "page_idx", *more)
+    count = lambda what, *more: F.count(F.when(what, 1)).over(over(*more))
+    is_text = F.col("type").isin("text", "ref_text") & F.col("bbox").isNotNull()
+    empty = F.coalesce(F.col("text"), F.lit("")) == ""
+    poor = empty | c.is_watermark(F.col("text")) | (~c.is_caption(F.col("text")) & ~c.is_stub(F.col("text")))
+    label = F.when(F.col("type") == "text", c.kind_and_number(F.col("text")))
+    needs = F.col("type").isin(*PARENTS) & poor
+    kind = F.when(needs, F.when(F.col("type") == "table", "table").otherwise("fig")).otherwise(label["kind"])
+    center = (F.col("bbox.x0") + F.col("bbox.x1")) / 2
+    rows = rows.withColumns({"_is_text": is_text, "_bin": F.when(is_text, F.floor(center / (F.coalesce("_width", F.lit(width)) / 6))), "_needs": F.coalesce(needs, F.lit(False)), "_kind": kind, "_number": label["number"], "_labelled": label.isNotNull()})
+    rows = rows.withColumns({"_in_bin": count(F.col("_is_text"), "_bin"), "_blocks": count(F.col("_is_text")), "_bins": F.size(F.collect_set("_bin").over(over())), "_unique": F.col("_labelled") & (count(F.col("_labelled"), "_kind", "_number") == 1)})
+    three = (F.col("_blocks") >= 4) & (F.col("_bins") >= 3) & (F.max(F.when(F.col("_is_text"), F.col("_in_bin"))).over(over()) < 0.8 * F.col("_blocks"))
+    own = F.max(F.when(F.col("_unique"), c.repair_label(F.trim("text")))).over(over("_kind"))
+    rows = rows.withColumns({"_ok": F.coalesce(three & (count(F.col("_needs"), "_kind") == 1) & (count(F.col("_unique"), "_kind") == 1), F.lit(False)), "_own": own})
+    return rows.withColumns({"text": F.when(F.col("_ok") & F.col("_needs"), F.col("_own")).otherwise(F.col("text")), "type": F.when(F.col("_ok") & F.col("_unique"), "_adopted_caption").otherwise(F.col("type"))}).select(blocks.columns)
 
 
 def with_captions(blocks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Blocks after both passes: adopted texts change their type, parents get caption and footnote."""
-    found = adopted(blocks)
-    key = ["doc_id", "page_idx"]
-
-    def applied(df: DataFrame, rows: DataFrame) -> DataFrame:
-        given = rows.groupBy(*key, F.col("parent").alias("idx")).agg(F.max(F.when(F.col("what") == "caption", F.trim("text"))).alias("new_text"), F.max(F.when(F.col("what") == "footnote", F.trim("text"))).alias("new_note"))
-        gone = rows.groupBy(*key, F.col("child").alias("idx")).agg(F.min("what").alias("gone"))
-        both = df.join(given, [*key, "idx"], "left").join(gone, [*key, "idx"], "left")
-        return both.withColumns({"text": F.coalesce(c.repair_label(F.col("new_text")), "text"), "footnote": F.coalesce("new_note", "footnote"), "type": F.when(F.col("gone").isNotNull() & (F.col("type") == "text"), F.concat(F.lit("_adopted_"), "gone")).otherwise(F.col("type"))}).select(df.columns)
-
-    first = applied(blocks, found)
-    second = by_label(first, three_columns(first, sizes))
-    return applied(first, second.withColumn("what", F.lit("caption")))
+    key = ["doc_id", "page_idx", "idx"]
+    is_caption = F.col("what") == "caption"
+    ends = F.array(F.struct(F.col("parent").alias("idx"), F.when(is_caption, F.trim("text")).alias("new_text"), F.when(~is_caption, F.trim("text")).alias("new_note"), F.lit(None).cast("string").alias("gone")), F.struct(F.col("child").alias("idx"), F.lit(None).cast("string").alias("new_text"), F.lit(None).cast("string").alias("new_note"), F.col("what").alias("gone")))
+    changes = adopted(blocks).select("doc_id", "page_idx", F.explode(ends).alias("e")).select("doc_id", "page_idx", "e.*").groupBy(*key).agg(F.max("new_text").alias("new_text"), F.max("new_note").alias("new_note"), F.min("gone").alias("gone"))
+    both = blocks.join(changes, key, "left")
+    first = both.withColumns({"text": F.coalesce(c.repair_label(F.col("new_text")), "text"), "footnote": F.coalesce("new_note", "footnote"), "type": F.when(F.col("gone").isNotNull(), F.concat(F.lit("_adopted_"), "gone")).otherwise(F.col("type"))}).select(blocks.columns)
+    return by_label(first, sizes)
 
 
 def panels(blocks: DataFrame) -> DataFrame:
