@@ -31,7 +31,7 @@ from .ordering import bounds, range_of
 BLOCK_IDS = 1 << 20
 #: One select position is kept for each so many documents.
 SAMPLED = 64
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Characters of text that are encoded together.
 TOGETHER = 1 << 21
 PLACED = mix64(np.arange(1, 257, dtype=np.uint64))
