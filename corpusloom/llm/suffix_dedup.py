@@ -34,7 +34,11 @@ from .common import free, mix64, partitions, stored, tidy
 
 LENGTH, SEED = 50, 20
 REACH = LENGTH - SEED  # bytes before an anchor that a string over it can reach
-BATCH = 1 << 18
+#: Entries of a bucket that are worked on at once, whole anchors at a time, and in one batch of these.
+SLICE, BATCH = 1 << 17, 1 << 16
+#: Bytes of an anchor's hash that are sent to find out whether others have it. Within a bucket, whose
+#: size doesn't grow with the corpus, a wrong yes is one in a million, and only costs a comparison.
+SHORT = 5
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
 INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -248,8 +252,27 @@ class LogIndex:
         return out
 
 
-def masks(hashes: np.ndarray, records: np.ndarray, docs: np.ndarray, batch: int = BATCH) -> np.ndarray:
-    """For each entry of a bucket, the strings over its anchor that a smaller document has too."""
+def masks(hashes: np.ndarray, records: np.ndarray, docs: np.ndarray, batch: int = BATCH, most: int = SLICE) -> np.ndarray:
+    """For each entry of a bucket, the strings over its anchor that a smaller document has too.
+
+    Different anchors have nothing to do with each other, so slices of whole anchors follow one
+    another, and memory is that of one slice beside the entries themselves.
+    """
+    order = np.argsort(hashes, kind="stable")
+    ends = np.flatnonzero(np.diff(hashes[order])) + 1
+    ends = np.r_[ends, len(order)]
+    out, at = np.zeros(len(order), dtype=np.uint32), 0
+    while at < len(order):
+        till = int(ends[max(0, np.searchsorted(ends, at + most, side="right") - 1)])
+        if till <= at:  # one anchor alone is larger
+            till = int(ends[np.searchsorted(ends, at, side="right")])
+        part = order[at:till]
+        out[part] = _slice_masks(hashes[part], records[part], docs[part], batch)
+        at = till
+    return out
+
+
+def _slice_masks(hashes: np.ndarray, records: np.ndarray, docs: np.ndarray, batch: int) -> np.ndarray:
     number, first = distinct(hashes, records, docs)
     out = np.where(docs > docs[first][number], valid(records), np.uint32(0))
     mine = first[np.argsort(docs[first], kind="stable")]
@@ -271,10 +294,11 @@ def _ask(buckets: int):
             np.minimum.at(low, where, docs)
             np.maximum.at(high, where, docs)
             several = low < high
+            short = mix64(values).view(np.uint8).reshape(-1, 8)[:, :SHORT]
             cut = np.searchsorted(bucket, np.arange(buckets + 1))
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 part = slice(cut[k], cut[k + 1])
-                blob = np.packbits(several[part]).tobytes() + values[part].tobytes()
+                blob = np.packbits(several[part]).tobytes() + short[part].tobytes()
                 yield pa.record_batch([pa.array([k], pa.int32()), pa.array([c.number], pa.int64()), pa.array([cut[k + 1] - cut[k]], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "chunk", "n", "blob"])
 
     return run
@@ -284,7 +308,10 @@ def _shared(batches):
     for bucket, rows in chunks.by_bucket(batches):
         counts = [r[2] for r in rows]
         several = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8, -(-n // 8)), count=n) for r, n in zip(rows, counts, strict=True)]).astype(bool)
-        values = np.concatenate([np.frombuffer(r[3], np.uint64, n, -(-n // 8)) for r, n in zip(rows, counts, strict=True)])
+        short = np.concatenate([np.frombuffer(r[3], np.uint8, n * SHORT, -(-n // 8)).reshape(n, SHORT) for r, n in zip(rows, counts, strict=True)])
+        values = np.zeros((len(short), 8), dtype=np.uint8)
+        values[:, :SHORT] = short
+        values = values.view(np.uint64).ravel()
         order = np.argsort(values, kind="stable")
         v = values[order]
         same = v[1:] == v[:-1]
@@ -339,9 +366,13 @@ def _judge(batches):
             hashes.append(np.frombuffer(data, np.uint64, n))
             docs.append(np.frombuffer(data, np.int64, n, 8 * n))
             records.append(np.frombuffer(data, np.uint8, n * RECORD, 16 * n).reshape(n, RECORD))
-        found = masks(np.concatenate(hashes), np.concatenate(records), np.concatenate(docs))
+        sent = [(chunk, n) for _, chunk, n, _ in rows]
+        rows.clear()
+        whole = np.concatenate(records)
+        records.clear()
+        found = masks(np.concatenate(hashes), whole, np.concatenate(docs))
         at = 0
-        for _, chunk, n, _ in rows:
+        for chunk, n in sent:
             blob = chunks.squeezed(found[at : at + n].tobytes())
             at += n
             yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], names=["chunk", "bucket", "blob"])

@@ -269,10 +269,10 @@ def test_dedup_small_alphabet_and_levels():
             owners.append(d)
             spots.append(a)
     args = np.array(hashes, dtype=np.uint64), np.array(records), np.array(owners, dtype=np.int64)
-    for batch in (7, 1 << 18):
+    for batch, most in ((7, 1 << 17), (7, 40), (1 << 18, 1 << 18), (1 << 16, 1)):
         # a batch may not part the entries of one document
         order = np.argsort(args[2], kind="stable")
-        found = suffix_dedup.masks(*(x[order] for x in args), batch=batch)
+        found = suffix_dedup.masks(*(x[order] for x in args), batch=batch, most=most)
         gone = {d: np.zeros(len(b), dtype=bool) for d, b, _, _ in parts}
         for k, m in zip(order.tolist(), found.tolist(), strict=True):
             for delta in range(31):
