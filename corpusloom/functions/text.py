@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often and however deep ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """Group of the first match, null without one."""
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import AVAILABILITY, GENERIC_DATAVERSE, REPOSITORIES
+from ..functions.text import let
 
 _HEADING = r"^\s*#+\s+"
 _SECTION = rf"(?i)^\s*#+\s*\**\s*{AVAILABILITY}\s*\**\s*[:.]?\s*$"
@@ -19,12 +20,17 @@ def line_sections(lines: Column) -> Column:
     """
     numbers = F.sequence(F.lit(0), F.size(lines) - 1)
     at = lambda i: F.get(lines, i)
-    starts = F.filter(numbers, lambda i: at(i).rlike(_SECTION) | at(i).rlike(_BOLD))
-    headings = F.filter(numbers, lambda i: at(i).rlike(_HEADING))
+    starting = F.filter(numbers, lambda i: at(i).rlike(_SECTION) | at(i).rlike(_BOLD))
+    heading = F.filter(numbers, lambda i: at(i).rlike(_HEADING))
     title = lambda i: F.trim(F.regexp_replace(F.regexp_replace(F.trim(at(i)), r"^#+", ""), r"^[\s*]+|[\s*]+$", ""))
-    begun = lambda i: F.coalesce(F.array_max(F.filter(headings, lambda h: h <= i)), F.lit(-1))
-    found = lambda i: F.array_min(F.filter(starts, lambda s: (s <= i) & (s >= begun(i))))
-    return F.when(F.size(starts) > 0, F.transform(numbers, lambda i: F.when(found(i).isNotNull(), title(found(i))))).otherwise(F.transform(numbers, lambda i: F.lit(None).cast("string")))
+
+    def placed(starts: Column, headings: Column) -> Column:
+        begun = lambda i: F.coalesce(F.array_max(F.filter(headings, lambda h: h <= i)), F.lit(-1))
+        within = lambda i: let(begun(i), lambda b: F.array_min(F.filter(starts, lambda s: (s <= i) & (s >= b))))
+        return F.transform(numbers, lambda i: let(within(i), lambda s: F.when(s.isNotNull(), title(s))))
+
+    none = F.transform(numbers, lambda i: F.lit(None).cast("string"))
+    return let(starting, lambda starts: F.when(F.size(starts) > 0, let(heading, lambda headings: placed(starts, headings))).otherwise(none))
 
 
 def _made(template: str, record: Column) -> Column:

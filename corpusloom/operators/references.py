@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import REFERENCES_HEADING
-from ..functions.text import all_matches
+from ..functions.text import all_matches, let
 
 NUMBERED = r"^[ \t]*(\d{1,3})[.)]\s+\S"
 BRACKETED = r"^[ \t]*\[(\d{1,3})\]\s+\S"
@@ -115,15 +115,16 @@ def with_footnote_references(docs: DataFrame, notes: DataFrame, scores: DataFram
 
 def section(md: Column) -> Column:
     """``struct<count, body>``: number of references headings and the text after the last; without a heading a trailing cluster of bracketed entries; body null if neither."""
-    lines = F.split(md, "\n")
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    heads = F.filter(numbers, lambda i: F.get(lines, i).rlike(REFERENCES_HEADING))
-    last = F.array_max(heads)
-    stop = F.coalesce(F.array_min(F.filter(numbers, lambda i: (i > last) & F.get(lines, i).rlike(r"^#{1,3}\s"))), F.size(lines))
-    body = F.array_join(F.slice(lines, last + 2, F.greatest(stop - last - 1, F.lit(0))), "\n")
-    brackets = F.filter(numbers, lambda i: F.get(lines, i).rlike(BRACKETED))
-    cluster = F.when(F.size(brackets) >= 5, F.array_join(F.slice(lines, F.array_min(brackets) + 1, F.size(lines)), "\n"))
-    return F.struct(F.size(heads).alias("count"), F.when(F.size(heads) > 0, body).otherwise(cluster).alias("body"))
+    def parts(lines: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+        heads = F.filter(numbers, lambda i: F.get(lines, i).rlike(REFERENCES_HEADING))
+        stop = lambda last: F.coalesce(F.array_min(F.filter(numbers, lambda i: (i > last) & F.get(lines, i).rlike(r"^#{1,3}\s"))), F.size(lines))
+        body = lambda last: F.array_join(F.slice(lines, last + 2, F.greatest(stop(last) - last - 1, F.lit(0))), "\n")
+        brackets = F.filter(numbers, lambda i: F.get(lines, i).rlike(BRACKETED))
+        cluster = lambda b: F.when(F.size(b) >= 5, F.array_join(F.slice(lines, F.array_min(b) + 1, F.size(lines)), "\n"))
+        return let(heads, lambda h: F.struct(F.size(h).alias("count"), F.when(F.size(h) > 0, let(F.array_max(h), body)).otherwise(let(brackets, cluster)).alias("body")))
+
+    return let(F.split(md, "\n"), parts)
 
 
 def style_of(body: Column) -> Column:
@@ -163,18 +164,16 @@ def scored(docs: DataFrame, md: str = "md") -> DataFrame:
     the median length, 0.10 if the last entry is bounded; at most 0.5 below three entries, 0 without.
     """
     d = docs.withColumn("_s", section(F.coalesce(F.col(md), F.lit("")))).withColumn("_e", entries(F.col("_s.body")))
-    lengths = F.array_sort(F.transform("_e", F.length))
-    n = F.size("_e")
-    mid = F.floor((n - 1) / 2).cast("int")
-    median = (F.get(lengths, mid) + F.get(lengths, F.floor(n / 2).cast("int"))) / 2
-    ratio = F.when(n > 0, F.round(F.array_max(lengths) / F.greatest(median, F.lit(1.0)), 4))
-    year = F.when(n > 0, F.size(F.filter("_e", lambda e: e.rlike(YEAR))) / n).otherwise(0.0)
-    bounded = F.length(F.try_element_at("_e", F.lit(-1))) <= 3 * F.greatest(median, F.lit(100.0))
+    d = d.withColumns({"_l": F.array_sort(F.transform("_e", F.length)), "_n": numbers(F.col("_e")), "_y": F.size(F.filter("_e", lambda e: e.rlike(YEAR)))})
+    n, mid = F.size("_e"), F.floor((F.size("_e") - 1) / 2).cast("int")
+    d = d.withColumn("_m", (F.get("_l", mid) + F.get("_l", F.floor(n / 2).cast("int"))) / 2)
+    ratio = F.when(n > 0, F.round(F.array_max("_l") / F.greatest(F.col("_m"), F.lit(1.0)), 4))
+    year = F.when(n > 0, F.col("_y") / n).otherwise(0.0)
+    bounded = F.length(F.try_element_at("_e", F.lit(-1))) <= 3 * F.greatest(F.col("_m"), F.lit(100.0))
     whole = F.when(F.col("_s.count") > 0, 0.2).otherwise(0.0) + 0.2 * F.least(F.lit(1.0), n / 5) + 0.35 * year + F.when(ratio <= 5, 0.15).otherwise(0.0) + F.when(bounded, 0.1).otherwise(0.0)
     score = F.when(n == 0, 0.0).when(n < 3, F.least(whole, F.lit(0.5))).otherwise(whole)
-    marks = numbers(F.col("_e"))
-    rises = F.forall(F.sequence(F.lit(1), F.greatest(F.size(marks) - 1, F.lit(1))), lambda i: (F.size(marks) < 2) | (F.get(marks, i) == F.get(marks, i - 1) + 1))
-    return d.withColumns({"score": F.round(score, 4), "style": style_of(F.col("_s.body")), "entry_count": n, "section_count": F.col("_s.count"), "numbered_continuous": (F.size(marks) > 0) & rises, "year_hit_ratio": F.round(year, 4), "longest_over_median": ratio}).drop("_s", "_e")
+    rises = let(F.col("_n"), lambda m: F.forall(F.sequence(F.lit(1), F.greatest(F.size(m) - 1, F.lit(1))), lambda i: (F.size(m) < 2) | (F.get(m, i) == F.get(m, i - 1) + 1)))
+    return d.withColumns({"score": F.round(score, 4), "style": style_of(F.col("_s.body")), "entry_count": n, "section_count": F.col("_s.count"), "numbered_continuous": (F.size("_n") > 0) & rises, "year_hit_ratio": F.round(year, 4), "longest_over_median": ratio}).drop("_s", "_e", "_l", "_n", "_y", "_m")
 
 
 def preserved(before: Column, after: Column, allowed: tuple[str, ...] = ("references", "notes")) -> Column:

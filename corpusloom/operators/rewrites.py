@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import REFERENCES_HEADING
+from ..functions.text import let
 from .references import BRACKETED, HEADING
 
 _LINE_NUMBER = r"^\s*\d{1,4}\s*$"
@@ -75,11 +76,12 @@ _SPAN_LINE = r"^<span id=\"page-\d+-\d+\"></span>\S"
 
 def normal_spans(md: Column) -> Column:
     """Span-anchored references: runs of two or more get bullets, split DOI links join, cross-reference wrappers go."""
-    lines = F.split(md, "\n")
-    at = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
-    anchored = lambda i: at(i).rlike(_SPAN_LINE)
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    out = F.array_join(F.transform(numbers, lambda i: F.when(anchored(i) & (anchored(i - 1) | anchored(i + 1)), F.concat(F.lit("- "), at(i))).otherwise(at(i))), "\n")
+    def bulleted(lines: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(lines, i), F.lit(""))
+        anchored = lambda i: at(i).rlike(_SPAN_LINE)
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.when(anchored(i) & (anchored(i - 1) | anchored(i + 1)), F.concat(F.lit("- "), at(i))).otherwise(at(i))), "\n")
+
+    out = let(F.split(md, "\n"), bulleted)
     joined = F.regexp_replace(out, r"\[https?://(?:dx\.)?doi\.org/\]\([^)]*\)\s*\[(10\.(?:[^\]\\]|\\.)*)\]\((?:[^()\\]|\\.|\([^()]*\))*\)", "<https://doi.org/$1>")
     plain = F.regexp_replace(joined, r"(<https://doi\.org/[^>\\]*)\\([()])", "$1$2")
     plain = F.regexp_replace(plain, r"(<https://doi\.org/[^>\\]*)\\([()])", "$1$2")
@@ -134,14 +136,15 @@ def _sections(lines: Column) -> Column:
 
 def with_orphan_headings(md: Column) -> Column:
     """A references heading above every run of three or more numbered bullets outside such a section, half of them with a year."""
-    lines = F.split(md, "\n")
-    depths = _sections(lines)
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    orphan = lambda i: F.coalesce((F.get(depths, i) == 0) & F.get(lines, i).rlike(_ENTRY), F.lit(False))
-    stop = lambda i: F.coalesce(F.array_min(F.filter(numbers, lambda j: (j > i) & ~orphan(j))), F.size(lines))
-    years = lambda i: F.size(F.filter(F.slice(lines, i + 1, stop(i) - i), lambda x: x.rlike(r"\b(?:18|19|20)\d{2}\b")))
-    begins = lambda i: orphan(i) & ~orphan(i - 1) & (stop(i) - i >= 3) & (2 * years(i) >= stop(i) - i)
-    return F.array_join(F.transform(numbers, lambda i: F.when(begins(i), F.concat(F.lit(f"{HEADING}\n\n"), F.get(lines, i))).otherwise(F.get(lines, i))), "\n")
+    def headed(lines: Column, depths: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+        orphan = lambda i: F.coalesce((F.get(depths, i) == 0) & F.get(lines, i).rlike(_ENTRY), F.lit(False))
+        stop = lambda i: F.coalesce(F.array_min(F.filter(numbers, lambda j: (j > i) & ~orphan(j))), F.size(lines))
+        years = lambda i, end: F.size(F.filter(F.slice(lines, i + 1, end - i), lambda x: x.rlike(r"\b(?:18|19|20)\d{2}\b")))
+        begins = lambda i: F.when(orphan(i) & ~orphan(i - 1), let(stop(i), lambda end: (end - i >= 3) & (2 * years(i, end) >= end - i))).otherwise(F.lit(False))
+        return F.array_join(F.transform(numbers, lambda i: F.when(begins(i), F.concat(F.lit(f"{HEADING}\n\n"), F.get(lines, i))).otherwise(F.get(lines, i))), "\n")
+
+    return let(F.split(md, "\n"), lambda lines: let(_sections(lines), lambda depths: headed(lines, depths)))
 
 
 def merged_sections(md: Column) -> Column:
@@ -170,16 +173,17 @@ def tidy_entries(lines: Column) -> Column:
 
 def aps_heading(md: Column, slug: Column) -> Column:
     """For an APS journal without the heading: one above five or more lines ``[1]``, ``[2]``, ... that rise to the end."""
-    lines = F.split(F.regexp_replace(md, r"\s+$", ""), "\n")
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
-    marks = F.filter(numbers, lambda i: F.get(lines, i).rlike(BRACKETED))
-    n = lambda i: F.regexp_extract(F.get(lines, i), BRACKETED, 1).cast("int")
-    start = F.array_max(F.filter(marks, lambda i: n(i) == 1))
-    run = F.transform(F.filter(marks, lambda i: i >= start), n)
-    rises = F.forall(F.sequence(F.lit(1), F.greatest(F.size(run) - 1, F.lit(1))), lambda k: (F.size(run) < 2) | (F.get(run, k) > F.get(run, k - 1)))
-    ok = slug.startswith("aps") & ~md.rlike(REFERENCES_HEADING) & (F.size(run) >= 5) & rises
-    out = F.concat(F.regexp_replace(F.array_join(F.slice(lines, F.lit(1), start), "\n"), r"\s+$", ""), F.lit(f"\n\n{HEADING}\n\n"), F.array_join(F.slice(lines, start + 1, F.size(lines)), "\n"), F.lit("\n"))
-    return F.when(F.coalesce(ok, F.lit(False)), out).otherwise(md)
+    def headed(lines: Column) -> Column:
+        n = lambda i: F.regexp_extract(F.get(lines, i), BRACKETED, 1).cast("int")
+        marks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(BRACKETED))
+        start = lambda found: F.array_max(F.filter(found, lambda i: n(i) == 1))
+        rises = lambda run: F.forall(F.sequence(F.lit(1), F.greatest(F.size(run) - 1, F.lit(1))), lambda k: (F.size(run) < 2) | (F.get(run, k) > F.get(run, k - 1)))
+        good = lambda run: (F.size(run) >= 5) & rises(run)
+        cut = lambda at: F.concat(F.regexp_replace(F.array_join(F.slice(lines, F.lit(1), at), "\n"), r"\s+$", ""), F.lit(f"\n\n{HEADING}\n\n"), F.array_join(F.slice(lines, at + 1, F.size(lines)), "\n"), F.lit("\n"))
+        return let(marks, lambda found: let(start(found), lambda at: F.when(let(F.transform(F.filter(found, lambda i: i >= at), n), good), cut(at))))
+
+    wanted = slug.startswith("aps") & ~md.rlike(REFERENCES_HEADING)
+    return F.coalesce(F.when(wanted, let(F.split(F.regexp_replace(md, r"\s+$", ""), "\n"), headed)), md)
 
 
 def with_api_references(docs: DataFrame, scores: DataFrame, fetched: DataFrame) -> DataFrame:
