@@ -47,20 +47,23 @@ def list_start(md: Column) -> Column:
     In order: footnote, bracketed and numbered lists with five entries in the last 30 % (one of them
     numbered 1 to 3), author-year lists with a run of ten in the last 25 %.
     """
-    return _start(line_table(md), F.length(md))
+    return let(line_table(md), lambda table: _start(table, F.length(md)))
 
 
 def _start(table: Column, size: Column) -> Column:
     tail = lambda found, share: F.filter(found, lambda x: x["off"] >= F.floor(size * share))
-    notes = marked(table, FOOTNOTE)
-    late = F.filter(notes, lambda x: x["off"] >= F.floor(size / 2))
-    least = F.array_min(F.transform(late, lambda x: x["n"]))
-    note = F.when((F.size(tail(notes, 0.7)) >= 5) & (least <= 3), F.array_min(F.transform(F.filter(late, lambda x: x["n"] == least), lambda x: x["off"])))
-    low = lambda found: F.when(F.size(tail(found, 0.7)) >= 5, F.array_min(F.transform(F.filter(tail(found, 0.7), lambda x: x["n"].isin(1, 2, 3)), lambda x: x["off"])))
-    run = last_run(tail(marked(table, AUTHOR_YEAR, end=True), 0.75), 400)
-    by_year = F.when(run["n"] >= 10, run["off"])
-    forms = [("footnote", note), ("bracketed", low(marked(table, BRACKETED))), ("numbered", low(marked(table, NUMBERED))), ("author-year", by_year)]
-    return F.coalesce(*(F.when(off.isNotNull(), F.struct(F.lit(style).alias("style"), off.alias("off"))) for style, off in forms))
+    offs = lambda found: F.array_min(F.transform(found, lambda x: x["off"]))
+
+    def first_note(notes: Column) -> Column:
+        late = F.filter(notes, lambda x: x["off"] >= F.floor(size / 2))
+        at = lambda found: let(F.array_min(F.transform(found, lambda x: x["n"])), lambda least: F.when(least <= 3, offs(F.filter(found, lambda x: x["n"] == least))))
+        return F.when(F.size(tail(notes, 0.7)) >= 5, let(late, at))
+
+    low = lambda pattern: let(tail(marked(table, pattern), 0.7), lambda t: F.when(F.size(t) >= 5, offs(F.filter(t, lambda x: x["n"].isin(1, 2, 3)))))
+    by_year = let(last_run(tail(marked(table, AUTHOR_YEAR, end=True), 0.75), 400), lambda run: F.when(run["n"] >= 10, run["off"]))
+    forms = [("footnote", let(marked(table, FOOTNOTE), first_note)), ("bracketed", low(BRACKETED)), ("numbered", low(NUMBERED)), ("author-year", by_year)]
+    named = lambda style, off: let(off, lambda x: F.when(x.isNotNull(), F.struct(F.lit(style).alias("style"), x.alias("off"))))
+    return F.coalesce(*(named(style, off) for style, off in forms))
 
 
 def with_heading(md: Column) -> Column:
