@@ -40,3 +40,50 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = common.stored(stage(spark, empty, SF), "empty")
     assert empty.count() == 0
+
+
+def test_near_dedup_takes_similar_shingles(spark):
+    """Pairs of a similarity of 0.8 and more go, however many bits of a fingerprint differ; others stay."""
+    import itertools
+    import random
+
+    from corpusloom.llm import near_texts, simhash
+
+    pick, texts = random.Random(5), {}
+    for k in range(60):
+        words = [f"w{pick.randrange(5000)}" for _ in range(300)]
+        texts[2 * k] = " ".join(words)
+        for at in range(7 + k % 20, 300, 300 // (1 + k % 8)):
+            words[at] = "other"
+        texts[2 * k + 1] = " ".join(words)
+    sets = {d: set(near_texts.shingles(t).tolist()) for d, t in texts.items()}
+    far = lambda a, b: (simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > simhash.MOST_BITS
+    links = [(a, b) for a, b in itertools.combinations(texts, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum(far(a, b) for a, b in links) > 10 and len(links) < 60
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert kept == set(texts) - {b for _, b in links}
+
+
+def test_near_texts_against_all_pairs(spark):
+    """Chains, copies, empty and null texts and null ids on the test table: components as all pairs give them."""
+    import itertools
+
+    from corpusloom.llm import near_texts
+
+    odd = [(-1, None), (-2, " "), (-3, "one two"), (-4, "ONE  two"), (None, "one two"), (None, "only here"), (-5, "a b c d e f g h i j k l"), (-5, "z y x w v u t s r q")]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    rows = [(r.doc_id, set(near_texts.shingles(r.text).tolist())) for r in docs.collect()]
+    root = {d: d for d, _ in rows if d is not None}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for (a, x), (b, y) in itertools.combinations([r for r in rows if r[0] is not None], 2):
+        if len(x & y) >= 0.8 * len(x | y) and find(a) != find(b):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    got = near_texts.near_texts(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == {(d, find(d)) for d in root}
+    assert sorted((r.component_id for r in got if r.doc_id is None), key=str) == [-4, None]
+    assert len(got) == len(rows)
