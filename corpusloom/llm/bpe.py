@@ -181,6 +181,23 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
     return src.mapInArrow(tidy(run), f"`{id_col}` {src.schema[0].dataType.simpleString()}, decoded binary")
 
 
+def ids_and_text(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, ids array<int>, text string)`` for each row, the text decoded from the ids; one pass, so rows with equal or null ids stay apart."""
+    prepare(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            c = codec(path, pattern)
+            ids = list(encoded(b.column(1).to_pylist(), path, pattern))
+            ends = np.cumsum([0, *map(len, ids)]).astype("int32")
+            flat = np.concatenate(ids) if ids else np.zeros(0, dtype="int32")
+            texts = [c.decode(x.tolist()).decode() for x in ids]
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())), pa.array(texts, pa.string())], names=[id_col, "ids", "text"])
+
+    src = df.select(id_col, text_col)
+    return src.mapInArrow(tidy(run), f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>, text string")
+
+
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode again in one pass: ``(id_col, n_tokens, ids_sha256, decoded_sha256)``."""
     prepare(df.sparkSession)

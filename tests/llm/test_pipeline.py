@@ -87,3 +87,19 @@ def test_near_texts_against_all_pairs(spark):
     assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == {(d, find(d)) for d in root}
     assert sorted((r.component_id for r in got if r.doc_id is None), key=str) == [-4, None]
     assert len(got) == len(rows)
+
+
+def test_encode_hands_on_ids_and_text(spark):
+    import public_tokenizers
+    import tiktoken.load
+
+    from corpusloom.llm import bpe
+
+    rows = [(1, "Plain words, and 12 numbers.", "en", "s", 28), (1, "über 東京 \U0001f600\n\n  x", "en", "s", 15), (None, "no id", "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.encode(spark, docs, SF).collect()
+    assert [(r.doc_id, r.text) for r in got] == [(d, t or "") for d, t, *_ in rows]
+    ids = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert [r.ids for r in got] == [r.ids for r in ids]
+    vocabulary = {n: b for b, n in tiktoken.load.load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).items()}
+    assert all(b"".join(vocabulary[i] for i in r.ids).decode() == r.text for r in got)
