@@ -131,6 +131,7 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.id_bytes = 2 if self.library.get_vocab_size(True) <= 1 << 16 else 4
         self.kind = f"<u{self.id_bytes}"
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -173,6 +174,10 @@ class Words:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        own = [any(a in t for a in self.added) for t in texts]
+        if any(own):
+            rest = iter(self.encode([t for t, x in zip(texts, own, strict=True) if not x]))
+            return [self.one(t) if x else next(rest) for t, x in zip(texts, own, strict=True)]
         if not texts:
             return []
         data = np.frombuffer(" ".join(texts).encode() + b" ", dtype=np.uint8).copy()

@@ -314,6 +314,18 @@ def test_id_files_pieces():
     assert w.encode(texts) == [w.one(t) for t in texts]
 
 
+def test_id_files_added_tokens(spark):
+    """Added tokens written in a text are what the library makes of them, and later documents start after them."""
+    w = idfiles.Words(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["see a<|endoftext|> b", "plain text", "a <|ENDOFTEXT|> b", "x<|startoftext|>Y, z", "<|endoftext|><|endoftext|>", "", "<|endoftext |>"]
+    assert w.one(texts[0]) == np.array([862, 320, 49407, 321], dtype=w.kind).tobytes()
+    assert w.encode(texts) == [w.one(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted((r.doc_id, r.start, r.n_tokens) for r in idfiles.read(idfiles.write(docs, public_tokenizers.path("word_bpe_49k.json"), 1)).collect())
+    sizes = [len(w.one(t)) // w.id_bytes + 1 for t in texts]
+    assert rows == [(k, sum(sizes[:k]), n) for k, n in enumerate(sizes)]
+
+
 def test_id_files_rules(odd, empty):
     blocks = idfiles.write(odd, public_tokenizers.path("word_bpe_49k.json"), 1)
     rows = sorted((r.start, r.doc_id, r.n_tokens) for r in idfiles.read(blocks).collect())
