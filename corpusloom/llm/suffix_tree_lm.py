@@ -1,25 +1,34 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-Tokens are words and one end a text. The model is a tree of states with next-symbol
-distributions:
-
-* The tree proper has contexts of up to ``DEPTH`` bytes within a word, the space before it
-  included. A context stays if its share of all symbols is at least ``LEAST_SHARE`` and its
-  next-symbol distribution diverges from that of its suffix by at least ``LEAST_GAIN`` nats in all
-  (its count times the Kullback-Leibler divergence). Each distribution is smoothed with that of
-  the suffix, down to a uniform root; a symbol is scored in the longest suffix of its history
-  that is a state.
-* Above it, the state of whole words, whose symbols are the training tokens and one class for
-  all unknown ones: counts less a discount D = n1 / (n1 + 2 n2); of the mass that frees, the
-  unknown class gets the Good-Turing share n1 / N, and known words divide the rest as the tree
-  spells them. (n1, n2: tokens that occur once, twice; N: all.) This sums to one.
-
-A text's score is the sum over its tokens, base 10.
-
-Counting and scoring go by chunk of documents: a chunk sends its distinct words once to the
-buckets of a hash space, where all counts of a word meet, and gets counts and probabilities back.
-The tree itself is bounded: at most ``1 / LEAST_SHARE`` contexts of each length can reach the
-share, so it can be sent to every task at any size of corpus.
+"""Language-model scoring with a probabilistic suffix tree over words.
+
+Symbols are the tokens of the training texts (words and one end a text) and one class for all
+unknown words, the same events as those of the base score. Contexts are the 0 to ``DEPTH`` tokens
+before a symbol; the start of a text counts as a token there.
+
+* The root holds single tokens: (c - D) / N for a known one and D V / N for the unknown class,
+  with D = n1 / (n1 + 2 n2). (c: the token's count, N: all, V: distinct, n1 and n2: distinct ones
+  that occur once and twice.)
+* A longer context s is a state if it occurs ``LEAST_COUNT`` times and its next-symbol distribution
+  diverges from that of its longest suffix t that is a state: the sum over next symbols w of
+  c(s, w) ln(c(s, w) / c(s) / P(w | t)) is at least ``LEAST_GAIN`` nats. (ln P(w | t) goes into this
+  test in half precision.)
+* P(w | s) = (max(c(s, w) - DISCOUNT, 0) + DISCOUNT d(s) P(w | t)) / c(s), where d(s) is the number of
+  different symbols seen after s. It sums to one, unknown class included.
+
+A token is scored in the longest suffix of its history that is a state; ``score`` is the sum of
+the log10 probabilities of a text's tokens. ``spelled_score`` adds, for each unknown word, the log10
+probability of its spelling among all unknown words (``spelling``), which makes it a distribution
+over all texts.
+
+Counting goes by chunk of documents, one level of contexts after the other. A chunk sends its
+distinct pairs of a context and a next symbol to the buckets of a hash space and gets their counts
+and the states back. The count of a context is that of a pair one level below, so a chunk asks
+for contexts with ``LEAST_COUNT`` only. Buckets grow in number with the texts; a context that
+would fill more than one is dealt out by its next symbols too, and its sums meet in an aggregation.
+There is no cap on contexts: what is kept grows with the corpus.
+
+Counts of single tokens, and with them all columns but the scores, are exact: words with equal
+hashes are told apart by their bytes. Longer contexts go by 64-bit hashes and their next symbols
+by 48 bits, so that two that share one count as one.
 
 Null texts count as empty and have one token, the end. Without any training text every token is
 unknown, with probability one, and scores are zero, as base scores are. Repeated rows count as often as they occur.
@@ -27,47 +36,62 @@ unknown, with probability one, and scores are zero, as base scores are. Repeated
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import chunks
+from . import chunks, spelling
 from .common import crc_of_id, free, mix64, partitions, stored, tidy
 
-DEPTH = 6
-LEAST_SHARE = 1e-4
-LEAST_GAIN = 20.0
-#: Weight of the suffix's distribution, in symbols, for each distinct symbol seen after a context.
-SMOOTH = 1.0
-#: Most of the discounted mass that the unknown class gets.
-MOST_UNKNOWN = 0.95
-SPACE, END = 32, 10  # symbols after a word, and for the end of a text; neither is in any word
+DEPTH = 3
+LEAST_COUNT = 2
+LEAST_GAIN = 4.0
+DISCOUNT = 0.75
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 24 << 20
+#: A context is spread over several buckets beyond this count and its fair share of all tokens.
+HOT = 1 << 16
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+IS_SPACE = spelling.IS_SPACE
 _U = np.uint64
 PLACED = mix64(np.arange(1, 257, dtype=np.uint64))
-BY_PLACE = mix64(np.arange(1001, 5097, dtype=np.uint64)) | _U(1)
+END_HASH, START_HASH = mix64(np.array([11, 12], dtype=np.uint64))
+BY_LEVEL = mix64(np.arange(101, 102 + DEPTH, dtype=np.uint64)) | _U(1)
+SALT = _U(0xD6E8FEB86659FD93)
+LN10 = np.log(10.0)
 
 
 def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Letters of all words lower-cased, and the start, size and text of each word."""
     there = ~IS_SPACE[data]
+    cut = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(data))]
     begins = there.copy()
     begins[1:] &= ~there[:-1]
-    begins[ends[:-1][ends[:-1] < len(data)]] |= there[ends[:-1][ends[:-1] < len(data)]]
+    begins[cut] |= there[cut]
+    closes = there.copy()
+    closes[:-1] &= ~there[1:]
+    closes[cut - 1] |= there[cut - 1]
     at = np.flatnonzero(begins)
-    letters = LOWER[data[there]]
-    first = (np.cumsum(there) - 1)[at]
-    return letters, first, np.diff(np.r_[first, len(letters)]), np.searchsorted(ends, at, side="right") - 1
+    sizes = np.flatnonzero(closes) + 1 - at
+    return LOWER[data[there]], np.cumsum(sizes) - sizes, sizes, np.searchsorted(ends, at, side="right") - 1
 
 
 def hashes(letters: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    if not len(first):
-        return np.zeros(0, dtype=np.uint64)
-    place = np.arange(len(letters)) - np.repeat(first, sizes)
-    return mix64(np.add.reduceat(PLACED[letters] * BY_PLACE[place % len(BY_PLACE)], first) ^ sizes.astype(np.uint64))
+    """A 64-bit hash of each word; words follow each other without gaps. Each place of a letter has its own factor."""
+    out = np.zeros(len(first), dtype=np.uint64)
+    at = 0
+    while at < len(first):  # some words at a time, to bound memory
+        to = max(at + 1, int(np.searchsorted(first, first[at] + (1 << 20))))
+        a, b = int(first[at]), int(first[to - 1] + sizes[to - 1])
+        place = np.arange(b - a, dtype=np.uint64) - np.repeat(first[at:to] - a, sizes[at:to]).astype(np.uint64)
+        factor = (mix64(np.arange(5001, 5001 + int(sizes[at:to].max()), dtype=np.uint64)) | _U(1))[place]
+        out[at:to] = np.add.reduceat(PLACED[letters[a:b]] * factor, first[at:to] - a)
+        at = to
+    return mix64(out ^ sizes.astype(np.uint64))
 
 
 def gather(letters: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -76,26 +100,40 @@ def gather(letters: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndar
     return letters[np.repeat(first - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)]
 
 
+def distinct(h: np.ndarray, letters: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One word for each different one, in order of hash, and which of these each word is; equal hashes are told apart by the bytes."""
+    _, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
+    stands = rep[inverse]
+    if (sizes[stands] == sizes).all() and (letters == gather(letters, first[stands], sizes)).all():
+        return rep, inverse
+    own: dict[tuple[int, bytes], list[int]] = {}
+    for i, (value, a, n) in enumerate(zip(h.tolist(), first.tolist(), sizes.tolist(), strict=True)):
+        own.setdefault((value, letters[a : a + n].tobytes()), []).append(i)
+    order = sorted(own)
+    for k, key in enumerate(order):
+        inverse[own[key]] = k
+    return np.array([own[key][0] for key in order]), inverse
+
+
 class Vocabulary:
-    """The distinct words of a chunk in order of bucket and hash, and where each token's word is."""
+    """The distinct words of a chunk in order of bucket and hash, and where each word of its texts is."""
 
     def __init__(self, c: chunks.Chunk, buckets: int) -> None:
         letters, first, sizes, self.row = words_of(c.data, c.ends)
         h = hashes(letters, first, sizes)
-        values, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
-        stands = rep[inverse]
-        place = np.arange(len(letters)) - np.repeat(first, sizes)
-        if len(h) and not ((sizes[stands] == sizes).all() and (letters == letters[np.repeat(first[stands], sizes) + place]).all()):
-            raise ValueError("two words of a chunk share a 64-bit hash")
-        bucket = chunks.bucket_of(values, buckets)
-        self.cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        self.hash, self.where = values, inverse
+        rep, self.where = distinct(h, letters, first, sizes)
+        self.hash = h[rep]
+        self.cut = np.searchsorted(chunks.bucket_of(self.hash, buckets), np.arange(buckets + 1))
         self.sizes = sizes[rep]
         self.letters = gather(letters, first[rep], self.sizes)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def pick(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and letters of some of the words."""
+        return self.sizes[some], self.letters[np.repeat(some, self.sizes)]
 
-def _ask(buckets: int, held_out):
+
+def _ask_words(buckets: int, held_out):
     def run(batches):
         for c, _ in chunks.rows_of(batches, ()):
             v = Vocabulary(c, buckets)
@@ -105,13 +143,22 @@ def _ask(buckets: int, held_out):
                 lo, hi = v.cut[k], v.cut[k + 1]
                 letters = v.letters[v.starts[lo] : v.starts[hi - 1] + v.sizes[hi - 1]]
                 blob = chunks.squeezed(v.hash[lo:hi].tobytes() + count[lo:hi].tobytes() + v.sizes[lo:hi].astype("<u4").tobytes() + letters.tobytes())
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([c.number], pa.int64()), pa.array([hi - lo], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "chunk", "n", "blob"])
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([c.number], pa.int64()), pa.array([int(hi - lo)], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "chunk", "n", "blob"])
 
     return run
 
 
-def _count(batches):
-    """One row a bucket: its distinct words with their counts; and which words each chunk asked for."""
+_COUNTED = "chunk bigint, bucket int, blob binary, sizes binary, letters binary, tokens bigint, known bigint, once bigint, twice bigint"
+
+
+def _count_words(batches):
+    """For each bucket a row of its distinct training words and their sums, and a row for each chunk with the counts it asked for."""
+    names = [c.split()[0] for c in _COUNTED.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+
+    def row(*values):
+        return pa.record_batch([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], names=names)
+
     for bucket, rows in chunks.by_bucket(batches):
         h, count, sizes, letters = [], [], [], []
         for _, _, n, blob in rows:
@@ -122,211 +169,252 @@ def _count(batches):
             letters.append(np.frombuffer(data, np.uint8, -1, 20 * n))
         h, count, sizes, letters = (np.concatenate(x) for x in (h, count, sizes, letters))
         first = np.cumsum(sizes) - sizes
-        _, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
-        stands = rep[inverse]
-        if not (sizes[stands] == sizes).all() or not (letters == letters[np.repeat(first[stands] - first, sizes) + np.arange(len(letters))]).all():
-            raise ValueError("two words share a 64-bit hash")
+        rep, inverse = distinct(h, letters, first, sizes)
         total = np.bincount(inverse, weights=count).astype(np.int64)
-        own = chunks.squeezed(total.tobytes() + sizes[rep].astype("<u4").tobytes() + gather(letters, first[rep], sizes[rep]).tobytes())
-        asked, at = [], 0
+        known = rep[total > 0]
+        sums = (int(total.sum()), len(known), int((total == 1).sum()), int((total == 2).sum()))
+        yield row(None, bucket, None, sizes[known].astype("<u4").tobytes(), gather(letters, first[known], sizes[known]).tobytes(), *sums)
+        at = 0
         for _, chunk, n, _ in rows:
-            asked.append({"chunk": chunk, "blob": chunks.squeezed(inverse[at : at + n].astype("<u4").tobytes())})
+            yield row(chunk, bucket, chunks.squeezed(total[inverse[at : at + n]].astype("<u8").tobytes()), None, None, 0, 0, 0, 0)
             at += n
-        yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([len(rep)], pa.int64()), pa.array([int(total.sum())], pa.int64()), *(pa.array([int((total == k).sum())], pa.int64()) for k in (1, 2)), pa.array([int((total > 0).sum())], pa.int64()), pa.array([own], pa.binary()), pa.array([asked], pa.list_(pa.struct([("chunk", pa.int64()), ("blob", pa.binary())])))], names=["bucket", "n", "tokens", "once", "twice", "known", "words", "asked"])
-
-
-def table(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = chunks.expanded(blob)
-    return np.frombuffer(data, np.int64, n), np.frombuffer(data, "<u4", n, 8 * n).astype(np.int64), np.frombuffer(data, np.uint8, -1, 12 * n)
-
-
-def symbols(sizes: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word as its letters and a closing space: the symbols, the word and the place of each."""
-    long = sizes + 1
-    first = np.cumsum(long) - long
-    out = np.full(int(long.sum()), SPACE, dtype=np.uint8)
-    word = np.repeat(np.arange(len(sizes)), long)
-    place = np.arange(len(out)) - first[word]
-    out[place < sizes[word]] = letters
-    return out, word, place
-
-
-def contexts(syms: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``depth`` symbols before each place as a number, and where the word (and the space before it) is long enough for it."""
-    key = np.zeros(len(syms), dtype=np.uint64)
-    before = np.empty_like(syms)
-    for d in range(1, depth + 1):
-        before[d:] = syms[:-d]
-        before[:d] = SPACE
-        key |= np.where(place >= d, before, SPACE).astype(np.uint64) << _U(8 * (d - 1))
-    return key, place + 1 >= depth
-
-
-def _gather_contexts(batches):
-    """``(key, count)``: length, context and next symbol packed in a long, summed within the partition's words."""
-    for b in batches:
-        for n, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            total, sizes, letters = table(n, blob)
-            known = total > 0
-            letters = letters[np.repeat(known, sizes)]
-            syms, word, place = symbols(sizes[known], letters)
-            weight = total[known][word]
-            for d in range(DEPTH + 1):
-                key, there = contexts(syms, place, d)
-                packed = key[there] << _U(8) | syms[there].astype(np.uint64) | _U(d) << _U(56)
-                values, inverse = np.unique(packed, return_inverse=True)
-                sums = np.bincount(inverse, weights=weight[there]).astype(np.int64)
-                for at in range(0, len(values), 50_000):
-                    yield pa.record_batch([pa.array(values[at : at + 50_000].view(np.int64)), pa.array(sums[at : at + 50_000])], names=["key", "count"])
-
-
-class Tree:
-    """States in order of their packed context; a row of log10 probabilities of all bytes for each."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        context = keys >> _U(8)
-        self.states, self.rows = np.array([0], dtype=np.uint64), None
-        root = np.zeros(256)
-        np.add.at(root, (keys[context == 0] & _U(255)).astype(np.int64), counts[context == 0])
-        rows = {0: self._smoothed(root, np.full(256, 1 / 256))}
-        for d in range(1, DEPTH + 1):
-            mine = np.flatnonzero(context >> _U(48) == d)
-            by = mine[np.argsort(context[mine], kind="stable")]
-            own, start = np.unique(context[by], return_index=True)
-            for state, a, b in zip(own.tolist(), start.tolist(), [*start.tolist(), len(by)][1:], strict=True):
-                pick = by[a:b]
-                suffix = state & (1 << 8 * (d - 1)) - 1 | d - 1 << 48
-                parent = rows.get(suffix)
-                if parent is None:
-                    continue
-                seen = np.zeros(256)
-                seen[(keys[pick] & _U(255)).astype(np.int64)] = counts[pick]
-                share = seen / seen.sum()
-                at = share > 0
-                if (seen[at] * np.log(share[at] / parent[at])).sum() >= LEAST_GAIN:
-                    rows[state] = self._smoothed(seen, parent)
-        self.states = np.array(sorted(rows), dtype=np.uint64)
-        self.rows = np.log10(np.array([rows[s] for s in self.states.tolist()])).astype(np.float32)
-
-    @staticmethod
-    def _smoothed(seen: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        weight = SMOOTH * max(1, int((seen > 0).sum()))
-        return (seen + weight * parent) / (seen.sum() + weight)
-
-    def scores(self, sizes: np.ndarray, letters: np.ndarray) -> np.ndarray:
-        """log10 probability of each word, its closing space included."""
-        if not len(sizes):
-            return np.zeros(0)
-        syms, word, place = symbols(sizes, letters)
-        state = np.zeros(len(syms), dtype=np.int64)
-        left = np.arange(len(syms))
-        for d in range(1, DEPTH + 1):
-            # a suffix of every state is a state, so only places that found one go deeper
-            key, there = contexts(syms, place, d)
-            left = left[there[left]]
-            packed = key[left] | _U(d) << _U(48)
-            at = np.minimum(np.searchsorted(self.states, packed), len(self.states) - 1)
-            hit = self.states[at] == packed
-            left = left[hit]
-            state[left] = at[hit]
-        return np.bincount(word, weights=self.rows[state, syms].astype(np.float64), minlength=len(sizes))
-
-
-def learn(counted: DataFrame) -> Tree:
-    """The tree over all words of the counted table. Only contexts of the least share come to the driver."""
-    found = counted.select("n", "words").mapInArrow(tidy(_gather_contexts), "key bigint, count bigint").groupBy("key").agg(F.sum("count").alias("count"))
-    found = stored(found.withColumn("context", F.shiftrightunsigned("key", 8)), "contexts")
-    of = found.groupBy("context").agg(F.sum("count").alias("total"))
-    all_symbols = found.where("context = 0").agg(F.sum("count")).first()[0] or 0
-    kept = of.where(F.col("total") >= LEAST_SHARE * all_symbols)
-    rows = found.join(kept, "context").select("key", "count").toPandas()
-    order = np.argsort(rows["key"].to_numpy(), kind="stable")
-    return Tree(rows["key"].to_numpy()[order].view(np.uint64), rows["count"].to_numpy()[order].astype(np.float64))
-
-
-def _answer(tree):
-    """Counts, and log10 probabilities under the tree, of the words that each chunk asked for; and the tree's mass of all known words."""
-
-    def run(batches):
-        for b in batches:
-            for bucket, n, blob, asked in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                total, sizes, letters = table(n, blob)
-                own = tree.value.scores(sizes, letters)
-                mass = float((10 ** own[total > 0]).sum())
-                for a in asked:
-                    at = np.frombuffer(chunks.expanded(a["blob"]), "<u4")
-                    out = chunks.squeezed(total[at].tobytes() + own[at].tobytes())
-                    yield pa.record_batch([pa.array([a["chunk"]], pa.int64()), pa.array([bucket], pa.int32()), pa.array([out], pa.binary()), pa.array([mass], pa.float64())], names=["chunk", "bucket", "blob", "mass"])
-                    mass = 0.0
-
-    return run
 
 
-class Words:
-    """The state of whole words."""
+class Model:
+    """What every task knows: the sums of the root, how unknown words are spelled, and the states that are spread over buckets."""
 
-    def __init__(self, tokens: int, known: int, once: int, twice: int, mass: float) -> None:
-        self.tokens, self.known = tokens, known
+    def __init__(self, buckets: int, texts: int, tokens: int, known: int, once: int, twice: int) -> None:
+        self.buckets, self.texts, self.tokens, self.known = buckets, texts, tokens, known
         self.discount = once / (once + 2 * twice) if once and twice else 0.5
-        freed = self.discount * known
-        self.unknown = min(MOST_UNKNOWN * freed, max(once, 0.5))
-        self.rest = (freed - self.unknown) / mass if mass else 0.0
-        self.unknown += 0.0 if mass else freed - self.unknown
+        self.limit = max(HOT, tokens // buckets)
+        self.tree: spelling.Tree | None = None
+        self.rest = 0.0  # log10 of the spelling tree's probability of all unknown words together
+        self.spread: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def base(self, count):
+    def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.tokens + self.known + 1))
 
-    def score(self, count, spelled):
-        """log10 probability by a token's count and its log10 probability under the tree."""
+    def root(self, count: np.ndarray) -> np.ndarray:
+        """ln probability at the root by a token's count."""
         if not self.tokens:
             return np.zeros(np.shape(count))
-        return np.log10(np.where(count > 0, count - self.discount + self.rest * 10.0**spelled, self.unknown) / self.tokens)
+        return np.log(np.where(count > 0, count - self.discount, self.discount * self.known) / self.tokens)
+
+    def spread_state(self, level: int, contexts: np.ndarray) -> np.ndarray:
+        """d(s) of spread contexts that are states, else 0."""
+        own, d = self.spread[level - 1]
+        if not len(own):
+            return np.zeros(len(contexts), dtype=np.int64)
+        at = np.minimum(np.searchsorted(own, contexts), len(own) - 1)
+        return np.where(own[at] == contexts, d[at], 0)
+
+
+class Tokens:
+    """The texts of a chunk as tokens: a start, the words and an end each; their ln probabilities so far, and how often the next context occurs."""
+
+    def __init__(self, c: chunks.Chunk, model: Model, answers: list) -> None:
+        v = self.words = Vocabulary(c, model.buckets)
+        self.model, n, words = model, len(c.doc_ids), len(v.hash)
+        count = np.zeros(words + 2, dtype=np.int64)
+        for a in answers:
+            if a["level"] == 0:
+                lo, hi = v.cut[a["bucket"]], v.cut[a["bucket"] + 1]
+                count[lo:hi] = np.frombuffer(chunks.expanded(a["blob"]), "<u8", hi - lo)
+        count[words:] = model.texts
+        sizes = np.bincount(v.row, minlength=n) + 2
+        starts = np.cumsum(sizes) - sizes
+        self.ids = np.full(int(sizes.sum()), words, dtype=np.int32)
+        self.ids[np.arange(len(v.row)) + 2 * v.row + 1] = v.where
+        self.ids[starts] = words + 1
+        self.text = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        self.back = (np.arange(len(self.ids)) - starts[self.text]).astype(np.int32)
+        self.hash = np.r_[v.hash, END_HASH, START_HASH]
+        self.count = count[self.ids]
+        self.ln = model.root(count)[self.ids]
+        self.before = np.zeros(len(self.ids), dtype=np.int64)  # count of the context of the next level
+        self.before[1:] = self.count[:-1]
+        self.context = np.zeros(len(self.ids), dtype=np.uint64)
+        self.level = 0
+        for k in range(1, 1 + max((a["level"] for a in answers), default=0)):
+            self.ask()
+            self.learn([a for a in answers if a["level"] == k])
+
+    def ask(self) -> None:
+        """Go one level deeper: the distinct pairs of a context and a next symbol, in order of bucket."""
+        self.level += 1
+        k = self.level
+        self.context[k:] = mix64(self.context[k:] + self.hash[self.ids[:-k]] * BY_LEVEL[k])
+        self.at = np.flatnonzero((self.back >= k) & (self.before >= LEAST_COUNT))
+        context, word = self.context[self.at], self.hash[self.ids[self.at]]
+        _, rep, inverse = np.unique(mix64(context + word * BY_LEVEL[0]), return_index=True, return_inverse=True)
+        context, word, often = context[rep], word[rep] >> _U(16), self.before[self.at[rep]]
+        shares = ((often - 1) // self.model.limit + 1).astype(np.uint64)
+        route = mix64(context + word % shares * SALT)
+        order = np.argsort(route, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.pair = place[inverse]  # of each asked place
+        self.route, self.pair_context, self.pair_word, self.pair_at = route[order], context[order], word[order], self.at[rep[order]]
+        turns = np.r_[True, (self.route[1:] != self.route[:-1]) | (self.pair_context[1:] != self.pair_context[:-1])] if len(order) else np.zeros(0, dtype=bool)
+        self.run = np.cumsum(turns) - 1
+        self.begins = np.r_[np.flatnonzero(turns), len(order)]
+        self.cut = np.searchsorted(chunks.bucket_of(self.route, self.model.buckets), np.arange(self.model.buckets + 1))
+
+    def questions(self, training: np.ndarray):
+        """``(bucket, pairs, runs, blob)``: contexts with their counts, and their next symbols with counts in this chunk and ln probabilities in the states so far."""
+        count = np.bincount(self.pair, weights=training[self.text[self.at]], minlength=len(self.route)).astype("<u4")
+        ln = self.ln[self.pair_at].astype("<f2")
+        for k in np.flatnonzero(np.diff(self.cut)).tolist():
+            lo, hi = self.cut[k], self.cut[k + 1]
+            a, b = np.searchsorted(self.begins, [lo, hi])
+            word = self.pair_word[lo:hi]
+            heads = self.begins[a:b]
+            parts = (self.pair_context[heads], self.before[self.pair_at[heads]].astype("<u8"), np.diff(np.r_[heads, hi]).astype("<u4"), (word >> _U(16)).astype("<u4"), word.astype("<u2"), count[lo:hi], ln[lo:hi])
+            yield k, int(hi - lo), int(b - a), chunks.squeezed(b"".join(x.tobytes() for x in parts))
+
+    def learn(self, answers: list) -> None:
+        """Take the counts and states of this level in."""
+        total, symbols = np.zeros(len(self.route), dtype=np.int64), np.zeros(len(self.begins) - 1, dtype=np.int64)
+        for a in answers:
+            lo, hi = self.cut[a["bucket"]], self.cut[a["bucket"] + 1]
+            x, y = np.searchsorted(self.begins, [lo, hi])
+            data = chunks.expanded(a["blob"])
+            total[lo:hi] = np.frombuffer(data, "<u8", hi - lo)
+            symbols[x:y] = np.frombuffer(data, "<u8", y - x, 8 * (hi - lo))
+        heads = self.begins[:-1]
+        hot = self.before[self.pair_at[heads]] > self.model.limit
+        symbols[hot] = self.model.spread_state(self.level, self.pair_context[heads[hot]])
+        d, own, often = symbols[self.run][self.pair], total[self.pair], self.before[self.at]
+        there = d > 0
+        at = self.at[there]
+        self.ln[at] = np.log((np.maximum(own[there] - DISCOUNT, 0) + DISCOUNT * d[there] * np.exp(self.ln[at])) / often[there])
+        self.before = np.zeros_like(self.before)
+        inside = self.at + 1 < len(self.before)
+        self.before[self.at[inside] + 1] = own[inside]
+
+
+def _questions(model, held_out):
+    def run(batches):
+        for c, (answers,) in chunks.rows_of(batches, ("answers",)):
+            t = Tokens(c, model.value, answers or [])
+            t.ask()
+            training = np.array([not held_out(d) for d in c.doc_ids], dtype=bool)
+            for k, pairs, runs, blob in t.questions(training):
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([c.number], pa.int64()), pa.array([pairs], pa.int64()), pa.array([runs], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "chunk", "n", "runs", "blob"])
 
+    return run
+
+
+def _states(limit: int):
+    """Counts and states of a bucket's pairs, for each chunk that asked; and the sums of contexts that are spread."""
 
-def _sum(buckets: int, held_out, state: Words, end_count: int):
+    def run(batches):
+        names = ["chunk", "bucket", "blob", "context", "symbols", "gain"]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
+        for bucket, rows in chunks.by_bucket(batches):
+            parts = []
+            for _, _, n, runs, blob in rows:
+                data = chunks.expanded(blob)
+                sizes = [(runs, np.uint64), (runs, np.dtype("<u8")), (runs, np.dtype("<u4")), (n, np.dtype("<u4")), (n, np.dtype("<u2")), (n, np.dtype("<u4")), (n, np.dtype("<f2"))]
+                own, at = [], 0
+                for many, kind in sizes:
+                    own.append(np.frombuffer(data, kind, many, at))
+                    at += many * np.dtype(kind).itemsize
+                parts.append(own)
+            heads, often, long, high, low, count, ln = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
+            run_of = np.repeat(np.arange(len(heads)), long)
+            word = high.astype(np.uint64) << _U(16) | low
+            contexts, state_of = np.unique(heads, return_inverse=True)
+            _, rep, inverse = np.unique(mix64(heads[run_of] + (word << _U(16)) * BY_LEVEL[0]), return_index=True, return_inverse=True)
+            total = np.bincount(inverse, weights=count).astype(np.int64)
+            mine = np.flatnonzero(total > 0)
+            of = state_of[run_of[rep[mine]]]
+            occurs = np.zeros(len(contexts), dtype=np.int64)
+            occurs[state_of] = often
+            symbols = np.bincount(of, minlength=len(contexts))
+            seen = total[mine]
+            gain = np.bincount(of, weights=seen * (np.log(seen / occurs[of]) - ln[rep[mine]].astype(np.float64)), minlength=len(contexts))
+            hot = np.flatnonzero(occurs > limit)
+            if len(hot):
+                yield pa.record_batch([pa.nulls(len(hot), pa.int64()), pa.array(np.full(len(hot), bucket), pa.int32()), pa.nulls(len(hot), pa.binary()), pa.array(contexts[hot].view(np.int64)), pa.array(symbols[hot], pa.int64()), pa.array(gain[hot])], names=names)
+            state = np.where((gain >= LEAST_GAIN) & (occurs <= limit), symbols, 0)
+            at = start = 0
+            for _, chunk, n, runs, _ in rows:
+                blob = chunks.squeezed(total[inverse[at : at + n]].astype("<u8").tobytes() + state[state_of[start : start + runs]].astype("<u8").tobytes())
+                yield pa.record_batch([pa.array([x], k) for x, k in zip((chunk, bucket, blob, None, None, None), kinds, strict=True)], names=names)
+                at, start = at + n, start + runs
+
+    return run
+
+
+def _sum(model, held_out):
     def run(batches):
         for c, (answers,) in chunks.rows_of(batches, ("answers",)):
-            v = Vocabulary(c, buckets)
-            count, own = np.zeros(len(v.hash), dtype=np.int64), np.zeros(len(v.hash))
-            for a in answers or []:
-                lo, hi = v.cut[a["bucket"]], v.cut[a["bucket"] + 1]
-                data = chunks.expanded(a["blob"])
-                count[lo:hi] = np.frombuffer(data, np.int64, hi - lo)
-                own[lo:hi] = np.frombuffer(data, np.float64, hi - lo, 8 * (hi - lo))
-            n = len(c.doc_ids)
-            sums = [np.bincount(v.row, weights=w[v.where], minlength=n) for w in (np.ones(len(v.hash)), count > 0, state.base(count), state.score(count, own))]
+            m = model.value
+            t = Tokens(c, m, answers or [])
+            n, said = len(c.doc_ids), t.back > 0
+            text, unknown = t.text[said], (t.count[said] == 0)
+            ln = t.ln[said] if m.tokens else np.zeros(len(text))
+            spelled = np.zeros(len(t.words.hash) + 2)
+            new = np.zeros(len(t.words.hash), dtype=bool)
+            new[t.ids[said][unknown & (t.ids[said] < len(new))]] = True
+            if m.tokens and new.any():
+                spelled[:-2][new] = m.tree.scores(*t.words.pick(new)) - m.rest
+            score = np.bincount(text, weights=ln, minlength=n) / LN10
             cols = [
                 pa.array(c.doc_ids, pa.int64()),
                 pa.array([held_out(d) for d in c.doc_ids], pa.bool_()),
-                pa.array(sums[0].astype(np.int64) + 1),
-                pa.array(sums[1].astype(np.int64) + (end_count > 0)),
-                pa.array(np.full(n, state.tokens, dtype=np.int64)),
-                pa.array(sums[2] + state.base(end_count)),
-                pa.array(sums[3] + state.score(np.array(end_count), -np.inf)),
+                pa.array(np.bincount(text, minlength=n).astype(np.int64)),
+                pa.array(np.bincount(text, weights=~unknown, minlength=n).astype(np.int64)),
+                pa.array(np.full(n, m.tokens, dtype=np.int64)),
+                pa.array(np.bincount(text, weights=m.base(t.count[said]), minlength=n)),
+                pa.array(score),
+                pa.array(score + np.bincount(text, weights=spelled[t.ids[said]], minlength=n)),
             ]
-            yield pa.record_batch(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.record_batch(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"])
 
     return run
 
 
 def score(df: DataFrame, held_out=lambda doc_id: crc_of_id(doc_id) % 7 == 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row; ``held_out(doc_id)`` tells which rows aren't learned from."""
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score`` for each row; ``held_out(doc_id)`` tells which rows aren't learned from."""
     spark = df.sparkSession
-    buckets = partitions(spark)
     own = chunks.build(df, id_col, text_col)
-    asked = own.mapInArrow(tidy(_ask(buckets, held_out)), "bucket int, chunk bigint, n bigint, blob binary")
-    counted = stored(chunks.spread(asked, buckets).mapInArrow(tidy(_count), "bucket int, n bigint, tokens bigint, once bigint, twice bigint, known bigint, words binary, asked array<struct<chunk:bigint,blob:binary>>"), "counted")
-    free(spark)
 
     def trained(batches):
         for b in batches:
             yield pa.record_batch([pa.array([sum(not held_out(d) for d in ids) for ids in b.column(0).to_pylist()], pa.int64())], names=["n"])
 
-    ends = own.select("doc_ids").mapInArrow(tidy(trained), "n bigint").agg(F.sum("n")).first()[0] or 0
-    words, distinct, once, twice = (x or 0 for x in counted.agg(*(F.sum(x) for x in ("tokens", "known", "once", "twice"))).first())
-    sent = spark.sparkContext.broadcast(learn(counted))
-    answered = stored(counted.select("bucket", "n", "words", "asked").mapInArrow(tidy(_answer(sent)), "chunk bigint, bucket int, blob binary, mass double"), "answered")
-    mass = answered.agg(F.sum("mass")).first()[0] or 0.0
-    state = Words(words + ends, distinct + (ends > 0), once + (ends == 1), twice + (ends == 2), mass)
-    whole = own.join(chunks.answers(answered, "answers"), "chunk", "left")
-    return whole.mapInArrow(tidy(_sum(buckets, held_out, state, ends)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    texts = own.select("doc_ids").mapInArrow(tidy(trained), "n bigint").agg(F.sum("n")).first()[0] or 0
+    buckets = max(partitions(spark), own.count() * chunks.CHUNK_BYTES // BUCKET_BYTES)
+
+    asked = own.mapInArrow(tidy(_ask_words(buckets, held_out)), "bucket int, chunk bigint, n bigint, blob binary")
+    counted = stored(chunks.spread(asked, buckets).mapInArrow(tidy(_count_words), _COUNTED), "counted")
+    free(spark)
+    tokens, known, once, twice = (x or 0 for x in counted.agg(*(F.sum(x) for x in ("tokens", "known", "once", "twice"))).first())
+    model = Model(buckets, texts, tokens + texts, known + (texts > 0), once + (texts == 1), twice + (texts == 2))
+    words = counted.where("chunk is null").select("sizes", "letters")
+    model.tree = spelling.learn(words)
+    model.rest = float(np.log10(max(1e-12, 1 - spelling.mass(words, model.tree))))
+    answers = [counted.where("chunk is not null").select("chunk", F.lit(0).alias("level"), "bucket", "blob")]
+
+    def told() -> DataFrame:
+        every = reduce(DataFrame.unionByName, answers)
+        return own.join(every.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("level", "bucket", "blob"))).alias("answers")), "chunk", "left")
+
+    for level in range(1, DEPTH + 1):
+        sent = spark.sparkContext.broadcast(model)
+        asked = told().mapInArrow(tidy(_questions(sent, held_out)), "bucket int, chunk bigint, n bigint, runs bigint, blob binary")
+        found = stored(chunks.spread(asked, buckets).mapInArrow(tidy(_states(model.limit)), "chunk bigint, bucket int, blob binary, context bigint, symbols bigint, gain double"), f"level{level}")
+        free(spark)
+        # a context is spread beyond its fair share of all tokens, so at most `buckets` contexts come here
+        whole = found.where("chunk is null").groupBy("context").agg(F.sum("symbols").alias("symbols"), F.sum("gain").alias("gain"))
+        hot = whole.where(F.col("gain") >= LEAST_GAIN).select("context", "symbols").toPandas()
+        keys = hot["context"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        model.spread.append((keys[order], hot["symbols"].to_numpy(dtype=np.int64)[order]))
+        answers.append(found.where("chunk is not null").select("chunk", F.lit(level).alias("level"), "bucket", "blob"))
+
+    sent = spark.sparkContext.broadcast(model)
+    return told().mapInArrow(tidy(_sum(sent, held_out)), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, spelled_score double")

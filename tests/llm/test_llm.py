@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import xxhash
 from conftest import SF
 from pyspark.sql import functions as F
 
-from corpusloom.llm import block_labeller, bpe, chat, chunks, decontaminate, html_blocks, idfiles, lcp, page_samples, quality, queries, simhash, suffix_dedup, suffix_tree_lm
+from corpusloom.llm import block_labeller, bpe, chat, chunks, decontaminate, html_blocks, idfiles, lcp, page_samples, quality, queries, simhash, spelling, suffix_dedup, suffix_tree_lm
 
 LONG = "the of and " * 4000 + "é" * 3000 + "ababab" * 2000
 #: Nulls, empties, white space, very long, repeated rows, ties of id, clashing column names.
@@ -123,55 +124,140 @@ def test_rank_queue():
 # --- 3: language model
 
 
+def suffix_tree_by_hand(texts, held):
+    """Scores of a word suffix tree from dictionaries of contexts: (score, score of the root alone) by id."""
+    words = {d: [*re.findall(rb"[^\x20\x09-\x0D]+", t.encode().translate(suffix_tree_lm.LOWER.tobytes())), b"\n"] for d, t in texts}
+    train = [w for d, w in words.items() if not held[d]]
+    c = Counter(w for ws in train for w in ws)
+    n, v = sum(c.values()), len(c)
+    once, twice = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    free = once / (once + 2 * twice) if once and twice else 0.5
+    after = defaultdict(Counter)
+    for ws in train:
+        h = (b"", *ws)
+        for i in range(1, len(h)):
+            for k in range(1, suffix_tree_lm.DEPTH + 1):
+                if i >= k:
+                    after[h[i - k : i]][h[i]] += 1
+    states = {}
+
+    def probability(h, w, most):
+        p = (c[w] - free if c[w] else free * v) / n
+        for k in range(1, min(most, len(h)) + 1):
+            if h[-k:] in states:
+                total, seen = states[h[-k:]]
+                p = (max(seen[w] - suffix_tree_lm.DISCOUNT, 0) + suffix_tree_lm.DISCOUNT * len(seen) * p) / total
+        return p
+
+    for k in range(1, suffix_tree_lm.DEPTH + 1):
+        new = {}
+        for s, seen in after.items():
+            total = sum(seen.values())
+            if len(s) == k and total >= suffix_tree_lm.LEAST_COUNT:
+                gain = sum(x * (np.log(x / total) - float(np.float16(np.log(probability(s, w, k - 1))))) for w, x in seen.items())
+                if gain >= suffix_tree_lm.LEAST_GAIN:
+                    new[s] = total, seen
+        states.update(new)
+    out = {}
+    for d, ws in words.items():
+        h = (b"", *ws)
+        out[d] = [sum(np.log10(probability(h[max(0, i - most) : i], h[i], most)) for i in range(1, len(h))) for most in (suffix_tree_lm.DEPTH, 0)]
+    return out, len(states)
+
+
 def test_lm_base_and_gain(spark, docs):
     got = {r.doc_id: r for r in queries.op3_suffix_tree_lm(spark, SF).collect()}
     words = {d: [*re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()), b"\n"] for d, t in docs}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in words}
-    from collections import Counter
-
     c = Counter(w for d, ws in words.items() if not held[d] for w in ws)
     n, v = sum(c.values()), len(c)
     for d, ws in words.items():
         r = got[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(ws), sum(c[w] > 0 for w in ws), n)
         assert abs(r.base_score - sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws)) < 1e-6
-    out = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
-
-
-def test_lm_is_a_distribution():
-    """Known words and the unknown class share one unit of probability; so do a state's next symbols."""
-    spelled = np.log10([0.2, 0.1, 0.05])
-    state = suffix_tree_lm.Words(10, 3, 1, 1, 0.35)
-    assert abs((10 ** state.score(np.array([1, 2, 7]), spelled)).sum() + 10 ** state.score(np.array(0), 0.0) - 1) < 1e-9
-    text = np.frombuffer(b"abracadabra", np.uint8)
-    syms, _, place = suffix_tree_lm.symbols(np.array([11]), text)
+    hand, states = suffix_tree_by_hand(docs, held)
+    assert states > 1000
+    for d, (own, _) in hand.items():
+        assert abs(got[d].score - own) < 1e-6 * max(1, abs(own))
+        assert got[d].spelled_score <= got[d].score + 1e-9
+    out = [d for d in words if held[d]]
+    tokens = sum(len(words[d]) for d in out)
+    tree, root, base = (sum(x) / tokens for x in ((got[d].score for d in out), (hand[d][1] for d in out), (got[d].base_score for d in out)))
+    assert tree > root + 0.2 and root > base
+
+
+def test_lm_contexts_in_several_buckets(spark, docs, monkeypatch):
+    """Contexts that are spread over buckets give the scores that they give in one."""
+    few = docs[:40]
+    df = spark.createDataFrame(few, "doc_id long, text string").repartition(3)
+    seen = []
+    plain = suffix_tree_lm.Model.__init__
+
+    def small(self, buckets, *sums):
+        plain(self, buckets, *sums)
+        self.limit = 3
+        seen.append(self)
+
+    monkeypatch.setattr(suffix_tree_lm.Model, "__init__", small)
+    monkeypatch.setattr(suffix_tree_lm, "partitions", lambda spark: 7)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score(df, held_out=lambda d: d % 5 == 0).collect()}
+    hand, _ = suffix_tree_by_hand(few, {d: d % 5 == 0 for d, _ in few})
+    assert sum(len(keys) for keys, _ in seen[0].spread) > 20
+    for d, (own, _) in hand.items():
+        assert abs(got[d] - own) < 1e-6 * max(1, abs(own))
+
+
+def test_lm_words_with_equal_hashes(spark, monkeypatch):
+    words = [b"ab", b"cde", b"ab", b"f", b"cde"]
+    letters, sizes = np.frombuffer(b"".join(words), np.uint8), np.array([len(w) for w in words])
+    first = np.cumsum(sizes) - sizes
+    rep, of = suffix_tree_lm.distinct(np.full(5, 9, dtype=np.uint64), letters, first, sizes)
+    assert [words[i] for i in rep[of]] == words and len(rep) == 3
+    # two long words that differ by a letter 4096 places on
+    a, b = "b" + "a" * 4999, "a" * 4096 + "b" + "a" * 903
+    df = spark.createDataFrame([(1, f"{a} {b} {a}"), (3, a), (4, b)], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_tree_lm.score(df, held_out=lambda d: d == 4).collect()}
+    assert got[1].train_tokens == 6 and (got[3].n_known, got[4].n_known) == (2, 2)
+    hand, _ = suffix_tree_by_hand([(1, f"{a} {b} {a}"), (3, a), (4, b)], {1: False, 3: False, 4: True})
+    assert all(abs(got[d].score - hand[d][0]) < 1e-6 for d in got)
+    base = {3: np.log10(4 / 10) + np.log10(3 / 10), 4: np.log10(2 / 10) + np.log10(3 / 10)}
+    assert all(abs(got[d].base_score - x) < 1e-9 for d, x in base.items())
+
+
+def test_lm_spelling_is_a_distribution():
+    """A state's next symbols share one unit of probability; symbols go by the longest suffix that is a state."""
+    syms, _, place = spelling.symbols(np.array([11]), np.frombuffer(b"abracadabra", np.uint8))
     keys, counts = [], []
-    for d in range(suffix_tree_lm.DEPTH + 1):
-        key, there = suffix_tree_lm.contexts(syms, place, d)
+    for d in range(spelling.DEPTH + 1):
+        key, there = spelling.contexts(syms, place, d)
         k, n = np.unique(key[there] << np.uint64(8) | syms[there].astype(np.uint64) | np.uint64(d) << np.uint64(56), return_counts=True)
         keys.append(k)
         counts.append(n * 100.0)
-    tree = suffix_tree_lm.Tree(np.concatenate(keys), np.concatenate(counts))
+    tree = spelling.Tree(np.concatenate(keys), np.concatenate(counts))
     assert len(tree.states) > 3
     assert np.allclose((10.0 ** tree.rows.astype(np.float64)).sum(axis=1), 1, atol=1e-4)
     # brute force: the longest suffix of the history that is a state
     states = {int(s): i for i, s in enumerate(tree.states)}
     want, history = 0.0, b" "
     for s in b"abracadabra ":
-        for d in range(min(suffix_tree_lm.DEPTH, len(history)), -1, -1):
+        for d in range(min(spelling.DEPTH, len(history)), -1, -1):
             key = int.from_bytes(history[len(history) - d :], "big") | d << 48
             if key in states:
                 want += float(tree.rows[states[key], s])
                 break
         history += bytes([s])
-    assert abs(tree.scores(np.array([11]), text)[0] - want) < 1e-4
+    assert abs(tree.scores(np.array([11]), np.frombuffer(b"abracadabra", np.uint8))[0] - (want - tree.opened)) < 1e-4
+    # all words of up to two letters and the mass of longer ones: no more than one
+    two = np.array([b for b in range(256) if not spelling.IS_SPACE[b]], np.uint8)
+    one = (10 ** tree.scores(np.ones(len(two), dtype=int), two)).sum()
+    pairs = np.stack(np.meshgrid(two, two), -1).reshape(-1)
+    assert 0 < one + (10 ** tree.scores(np.full(len(pairs) // 2, 2), pairs)).sum() <= 1
 
 
 def test_lm_rules(odd, empty):
     rows = {r.doc_id: r for r in suffix_tree_lm.score(odd).collect()}
     assert rows[2].n_tokens == 1 and rows[4].n_tokens == 1 and rows[7].n_tokens == 2
-    assert all(np.isfinite(r.score) and r.score <= 0 for r in rows.values())
+    assert all(np.isfinite(r.spelled_score) and r.spelled_score <= r.score <= 0 for r in rows.values())
     assert suffix_tree_lm.score(empty).count() == 0
     alone = suffix_tree_lm.score(odd, held_out=lambda d: True).collect()
     assert len(alone) == len(ODD) and {(r.train_tokens, r.base_score, r.score) for r in alone} == {(0, 0.0, 0.0)}
