@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare, tidy
+from .common import tidy
 from .html_blocks import PATHS, WORDS, Block, blocks, path_features, word_features
 from .page_samples import Maker
 
@@ -221,7 +221,6 @@ def main_texts(net: Labeller, pages: list[str | None]) -> list[str]:
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The ``keep`` columns and ``text`` for each row."""
-    prepare(df.sparkSession)
     net = trained()
     src = df.select(*keep, html_col)
 

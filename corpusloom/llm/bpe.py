@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import prepare, tidy
+from .common import tidy
 
 #: Distinct pre-tokens in each of the two generations that a worker remembers.
 REMEMBERED = 300_000
@@ -155,7 +155,6 @@ def encoded(texts, path: str, pattern: str):
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, ids array<int>)`` for each row."""
-    prepare(df.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -170,7 +169,6 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``(id_col, decoded binary)`` for each row of ids; null ids decode to nothing."""
-    prepare(df.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -183,7 +181,6 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
 
 def ids_and_text(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, ids array<int>, text string)`` for each row, the text decoded from the ids; one pass, so rows with equal or null ids stay apart."""
-    prepare(df.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -200,7 +197,6 @@ def ids_and_text(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode again in one pass: ``(id_col, n_tokens, ids_sha256, decoded_sha256)``."""
-    prepare(df.sparkSession)
 
     def run(batches):
         for b in batches:

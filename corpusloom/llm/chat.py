@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, tidy
+from .common import tidy
 
 HEADER, CLOSE = "### ", "</turn>\n"
 SETS = ("message", "edit", "regenerate")
@@ -87,7 +87,6 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 def read_back(turns: DataFrame) -> DataFrame:
     """Digests of each conversation, read from its rendered turns in order; one turn is held at a time."""
-    prepare(turns.sparkSession)
 
     def run(batches):
         def row():

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, tidy
+from .common import stored, tidy
 
 #: Bytes of text after which a chunk is closed.
 CHUNK_BYTES = 8 << 20
@@ -55,7 +55,6 @@ COLUMNS = ("chunk", "doc_ids", "ends", "texts", "rest")
 
 def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: tuple[str, ...] = (), size: int = CHUNK_BYTES) -> DataFrame:
     """Write the chunks of ``df``; null texts become empty ones. ``rest`` columns are carried along."""
-    prepare(df.sparkSession)
     src = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c) for c in rest))
 
     def run(batches):

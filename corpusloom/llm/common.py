@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 import zlib
@@ -12,67 +11,89 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch. Texts can be long; a Python worker holds one batch.
-BATCH_ROWS = 500
-
-
-def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts, in this session."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),):
-        now = int(spark.conf.get(key))
-        if now <= 0 or now > most:
-            spark.conf.set(key, str(most))
+#: Most rows and bytes of a batch that a function of Arrow batches gets; a longer row comes alone.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+#: Removes the shuffle files of a job when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one serves a session whose executors run in the driver
+    (``local[...]``); on a cluster it is an error, as a folder of one machine would lose tables.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="loom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if held.isDefined():
+            at = held.get()
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            at = tempfile.mkdtemp(prefix="loom-")
+            spark.sparkContext.setCheckpointDir(at)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at
 
 
+def _folder(spark: SparkSession, path: str):
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts lineage for good.
 
-    The table outlives a lost executor, unlike a cached or locally checkpointed one.
+    The table outlives a lost executor, unlike a cached or locally checkpointed one. The job's
+    shuffle files go when it ends. The table goes by ``drop_stored``, or else with the application.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    files, of = _folder(spark, path)
+    files.deleteOnExit(of)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Remove a table that ``stored`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        if "/loom-" in folder:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop_stored(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote, once nothing reads them any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if "/loom-" in folder:
+                files, of = _folder(df.sparkSession, folder)
+                files.delete(of, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(batches):
+    """Cut Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``."""
+    for b in batches:
+        left = [b]
+        while left:
+            b = left.pop()
+            if b.num_rows > 1 and (b.num_rows > BATCH_ROWS or b.nbytes > BATCH_BYTES):
+                left += [b.slice(b.num_rows // 2), b.slice(0, b.num_rows // 2)]
+            else:
+                yield b
+
+
 def tidy(run):
-    """A function of Arrow batches that gives its worker's free memory back when a partition is done.
+    """A function of Arrow batches that gets small ones and gives its worker's free memory back when a partition is done.
 
     Workers stay for later tasks beside those of other stages; without this each keeps its peak.
     """
 
     def wrapped(batches):
-        yield from run(batches)
+        yield from run(small(batches))
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)

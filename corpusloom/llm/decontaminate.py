@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import mix64, prepare, tidy
+from .common import mix64, tidy
 
 N = 2
 RARE = 1e-4
@@ -197,7 +197,6 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str):
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` and ``leaks array<struct<item_id, score, n_matched, start_word, end_word>>``, one entry for each item that the text leaks."""
     spark = docs.sparkSession
-    prepare(spark)
     docs = docs.drop("leaks")
     at, plain = docs.columns.index(text_col), docs.schema
     kind = benchmark.schema[item_col].dataType.simpleString()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import mix64, partitions, prepare, stored, tidy
+from .common import mix64, partitions, stored, tidy
 from .ordering import bounds, range_of
 
 #: Ids in one block, beyond which the next begins.
@@ -221,7 +221,6 @@ def words(path: str) -> Words:
 
 def encode(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, ids binary)``, each document closed by ``end_id``; the other columns that ``df`` has beside these two come first."""
-    prepare(df.sparkSession)
     rest = [c for c in df.columns if c not in (id_col, text_col)]
 
     def run(batches):
@@ -246,7 +245,6 @@ def encode(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_c
 def write(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write every document's ids in ascending ``id_col`` order; returns the table of blocks as it was written."""
     spark = df.sparkSession
-    prepare(spark)
     src = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     cuts = bounds(src, "doc_id", partitions(spark))
     dealt = encode(src.withColumn("part", range_of("doc_id", cuts)), path, end_id, "doc_id", "text")

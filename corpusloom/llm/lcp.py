@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, partitions, prepare, tidy
+from .common import mix64, partitions, tidy
 from .ordering import bounds, range_of
 
 BINS = {3: 96, 2: 32}
@@ -108,7 +108,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, fingerprint string)`` for each row."""
-    prepare(df.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -138,7 +137,6 @@ def compare_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first document of the range after it. Equal ids are ordered by text; null ids come last.
     """
     spark = df.sparkSession
-    prepare(spark)
     src = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cuts = bounds(src, "doc_id", partitions(spark))
     n = len(cuts) + 1

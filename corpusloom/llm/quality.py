@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, tidy
+from .common import tidy
 
 #: Most labelled rows that training reads.
 SAMPLE = 3000
@@ -166,7 +166,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scored(docs: DataFrame, net: ConvNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a column ``score`` after the others."""
-    prepare(docs.sparkSession)
     if "score" in docs.columns:
         docs = docs.drop("score")
     at = docs.columns.index(text_col)

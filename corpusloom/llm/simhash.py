@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, partitions, prepare, stored, tidy
+from .common import drop_stored, partitions, stored, tidy
 
 SEED = 42
 MOST_BITS = 4
@@ -163,7 +163,6 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
     """``(id_col, fp bigint)``; the bits of the unsigned fingerprint as a signed long."""
-    prepare(df.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import chunks
-from .common import free, mix64, partitions, stored, tidy
+from .common import mix64, partitions, stored, tidy
 
 LENGTH, SEED = 50, 20
 REACH = LENGTH - SEED  # bytes before an anchor that a string over it can reach
@@ -432,11 +432,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: t
     own = chunks.build(df, id_col, text_col, rest)
     asked = own.mapInArrow(tidy(_ask(buckets)), "bucket int, chunk bigint, n bigint, blob binary")
     shared = stored(chunks.spread(asked, buckets).mapInArrow(tidy(_shared), "chunk bigint, bucket int, blob binary"), "shared")
-    free(spark)
     known = own.join(chunks.answers(shared, "shared"), "chunk", "left")
     sent = known.mapInArrow(tidy(_send(buckets)), "bucket int, chunk bigint, n bigint, blob binary")
     judged = stored(chunks.spread(sent, buckets).mapInArrow(tidy(_judge), "chunk bigint, bucket int, blob binary"), "judged")
-    free(spark)
     whole = known.join(chunks.answers(judged, "judged"), "chunk", "left")
     schema = StructType.fromDDL("doc_id bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary, kept_text string")
     return whole.mapInArrow(tidy(_cut(buckets, list(rest))), StructType([*schema.fields, *(df.schema[c] for c in rest)]))

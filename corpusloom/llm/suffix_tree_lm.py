@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks, spelling
-from .common import crc_of_id, free, mix64, partitions, stored, tidy
+from .common import crc_of_id, mix64, partitions, stored, tidy
 
 DEPTH = 3
 LEAST_COUNT = 2
@@ -391,8 +391,6 @@ def score(df: DataFrame, held_out=lambda doc_id: crc_of_id(doc_id) % 7 == 2, id_
 
     asked = own.mapInArrow(tidy(_ask_words(buckets, held_out)), "bucket int, chunk bigint, n bigint, blob binary")
     counted = stored(chunks.spread(asked, buckets).mapInArrow(tidy(_count_words), _COUNTED), "counted")
-    del asked  # lets its shuffle files go
-    free(spark)
     tokens, known, once, twice = (x or 0 for x in counted.agg(*(F.sum(x) for x in ("tokens", "known", "once", "twice"))).first())
     model = Model(buckets, texts, tokens + texts, known + (texts > 0), once + (texts == 1), twice + (texts == 2))
     words = counted.where("chunk is null").select("sizes", "letters")
@@ -408,8 +406,6 @@ def score(df: DataFrame, held_out=lambda doc_id: crc_of_id(doc_id) % 7 == 2, id_
         sent = spark.sparkContext.broadcast(model)
         asked = told().mapInArrow(tidy(_questions(sent, held_out)), "bucket int, chunk bigint, n bigint, runs bigint, blob binary")
         found = stored(chunks.spread(asked, buckets).mapInArrow(tidy(_states(model.limit)), "chunk bigint, bucket int, blob binary, context bigint, symbols bigint, gain double"), f"level{level}")
-        del asked
-        free(spark)
         # a context is spread beyond its fair share of all tokens, so at most `buckets` contexts come here
         whole = found.where("chunk is null").groupBy("context").agg(F.sum("symbols").alias("symbols"), F.sum("gain").alias("gain"))
         hot = whole.where(F.col("gain") >= LEAST_GAIN).select("context", "symbols").toPandas()
