@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tidy
+from .common import dealt, stored, tidy
 
 #: Bytes of text after which a chunk is closed.
 CHUNK_BYTES = 8 << 20
@@ -88,7 +88,7 @@ def build(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: t
         if docs:
             yield chunk()
 
-    return stored(src.mapInArrow(tidy(run), "chunk bigint, doc_ids array<bigint>, ends binary, texts binary, rest binary"), "chunks")
+    return stored(dealt(src).mapInArrow(tidy(run), "chunk bigint, doc_ids array<bigint>, ends binary, texts binary, rest binary"), "chunks")
 
 
 def rows_of(batches, columns: tuple[str, ...]):

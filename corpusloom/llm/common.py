@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Most rows and bytes of a batch that a function of Arrow batches gets; a longer row comes alone.
 BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+#: Bytes up to which a table is dealt out to all cores.
+SMALL_TABLE = 64 << 20
 #: Removes the shuffle files of a job when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -74,6 +76,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Deal a table out to all cores if it is small; one file of it is one task otherwise. Larger ones have files enough."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    few = size.compareTo(df.sparkSession.sparkContext._jvm.scala.math.BigInt.apply(SMALL_TABLE)) < 0
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few else df
+
+
 def small(batches):
     """Cut Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``."""
     for b in batches:

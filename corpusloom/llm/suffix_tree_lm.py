@@ -44,14 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks, spelling
-from .common import crc_of_id, mix64, partitions, stored, tidy
+from .common import crc_of_id, drop_stored, mix64, partitions, stored, tidy
 
 DEPTH = 3
 LEAST_COUNT = 2
 LEAST_GAIN = 4.0
 DISCOUNT = 0.75
-#: Bytes of text for each bucket.
-BUCKET_BYTES = 24 << 20
+#: Bytes of text in a chunk, and for each bucket.
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: A context is spread over several buckets beyond this count and its fair share of all tokens.
 HOT = 1 << 16
 LOWER = np.arange(256, dtype=np.uint8)
@@ -100,9 +100,19 @@ def gather(letters: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndar
     return letters[np.repeat(first - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)]
 
 
+def unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different value stands once, in order of value, and which of these each value is."""
+    order = np.argsort(x)
+    ranked = x[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]] if len(x) else np.zeros(0, dtype=bool)
+    inverse = np.empty(len(x), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
 def distinct(h: np.ndarray, letters: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One word for each different one, in order of hash, and which of these each word is; equal hashes are told apart by the bytes."""
-    _, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
+    rep, inverse = unique(h)
     stands = rep[inverse]
     if (sizes[stands] == sizes).all() and (letters == gather(letters, first[stands], sizes)).all():
         return rep, inverse
@@ -209,33 +219,62 @@ class Model:
         return np.where(own[at] == contexts, d[at], 0)
 
 
-class Tokens:
-    """The texts of a chunk as tokens: a start, the words and an end each; their ln probabilities so far, and how often the next context occurs."""
+_TOKENS = "chunk bigint, doc_ids array<bigint>, sizes binary, spelled binary, words binary, ids binary"
 
-    def __init__(self, c: chunks.Chunk, model: Model, answers: list) -> None:
-        v = self.words = Vocabulary(c, model.buckets)
-        self.model, n, words = model, len(c.doc_ids), len(v.hash)
-        count = np.zeros(words + 2, dtype=np.int64)
-        for a in answers:
-            if a["level"] == 0:
+
+def _tokens(model, names):
+    """Each chunk's texts as numbers of its distinct words, the most frequent first, with their hashes and counts; and the spelling of each text's unknown words."""
+
+    def run(batches):
+        for c, (answers,) in chunks.rows_of(batches, ("answers",)):
+            m, n = model.value, len(c.doc_ids)
+            v = Vocabulary(c, m.buckets)
+            count = np.zeros(len(v.hash), dtype="<u8")
+            for a in answers or []:
                 lo, hi = v.cut[a["bucket"]], v.cut[a["bucket"] + 1]
                 count[lo:hi] = np.frombuffer(chunks.expanded(a["blob"]), "<u8", hi - lo)
-        count[words:] = model.texts
-        sizes = np.bincount(v.row, minlength=n) + 2
-        starts = np.cumsum(sizes) - sizes
-        self.ids = np.full(int(sizes.sum()), words, dtype=np.int32)
-        self.ids[np.arange(len(v.row)) + 2 * v.row + 1] = v.where
-        self.ids[starts] = words + 1
-        self.text = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        self.back = (np.arange(len(self.ids)) - starts[self.text]).astype(np.int32)
-        self.hash = np.r_[v.hash, END_HASH, START_HASH]
+            own = np.zeros(len(v.hash))
+            new = count == 0
+            if m.tokens and new.any():
+                own[new] = m.tree.scores(*v.pick(new)) - m.rest
+            spelled = np.bincount(v.row, weights=own[v.where], minlength=n)
+            order = np.argsort(-np.bincount(v.where, minlength=len(v.hash)), kind="stable")
+            number = np.empty(len(order), dtype=np.uint32)
+            number[order] = np.arange(len(order), dtype=np.uint32)
+            ids = number[v.where]
+            blobs = (np.bincount(v.row, minlength=n).astype("<u4"), spelled, np.concatenate([v.hash[order], count[order]]))
+            planes = (ids >> 16).astype("<u2").tobytes() + ids.astype("<u2").tobytes()
+            cols = [pa.array([c.number], pa.int64()), pa.array([c.doc_ids], pa.list_(pa.int64())), *(pa.array([chunks.squeezed(x.tobytes())], pa.binary()) for x in blobs), pa.array([chunks.squeezed(planes)], pa.binary())]
+            yield pa.record_batch(cols, names=names)
+
+    return run
+
+
+class Tokens:
+    """The texts of a chunk as tokens: a start, the words and an end each; their ln probabilities so far, and how often the next context occurs."""
+
+    def __init__(self, model: Model, doc_ids, sizes, spelled, words, ids, answers: list) -> None:
+        self.model, self.doc_ids, n = model, doc_ids, len(doc_ids)
+        self.spelled = np.frombuffer(chunks.expanded(spelled))
+        own = np.frombuffer(chunks.expanded(words), np.uint64)
+        known = len(own) // 2
+        count = np.r_[own[known:].astype(np.int64), model.texts, model.texts]
+        sizes = np.frombuffer(chunks.expanded(sizes), "<u4").astype(np.int64)
+        planes = np.frombuffer(chunks.expanded(ids), "<u2")
+        said = np.arange(int(sizes.sum())) + 2 * np.repeat(np.arange(n), sizes) + 1
+        starts = np.cumsum(sizes + 2) - sizes - 2
+        self.ids = np.full(int(sizes.sum()) + 2 * n, known, dtype=np.int32)
+        self.ids[said] = planes[: len(said)].astype(np.int32) << 16 | planes[len(said) :]
+        self.ids[starts] = known + 1
+        self.text = np.repeat(np.arange(n, dtype=np.int32), sizes + 2)
+        self.back = np.arange(len(self.ids), dtype=np.int32) - starts.astype(np.int32)[self.text]
+        self.hash = np.r_[own[:known], END_HASH, START_HASH]
         self.count = count[self.ids]
         self.ln = model.root(count)[self.ids]
-        self.before = np.zeros(len(self.ids), dtype=np.int64)  # count of the context of the next level
-        self.before[1:] = self.count[:-1]
+        self.before = np.r_[0, self.count[:-1]]  # count of the context of the next level
         self.context = np.zeros(len(self.ids), dtype=np.uint64)
         self.level = 0
-        for k in range(1, 1 + max((a["level"] for a in answers), default=0)):
+        for k in range(1, 1 + max((a["level"] for a in answers or []), default=0)):
             self.ask()
             self.learn([a for a in answers if a["level"] == k])
 
@@ -246,7 +285,7 @@ class Tokens:
         self.context[k:] = mix64(self.context[k:] + self.hash[self.ids[:-k]] * BY_LEVEL[k])
         self.at = np.flatnonzero((self.back >= k) & (self.before >= LEAST_COUNT))
         context, word = self.context[self.at], self.hash[self.ids[self.at]]
-        _, rep, inverse = np.unique(mix64(context + word * BY_LEVEL[0]), return_index=True, return_inverse=True)
+        rep, inverse = unique(mix64(context + word * BY_LEVEL[0]))
         context, word, often = context[rep], word[rep] >> _U(16), self.before[self.at[rep]]
         shares = ((often - 1) // self.model.limit + 1).astype(np.uint64)
         route = mix64(context + word % shares * SALT)
@@ -293,14 +332,19 @@ class Tokens:
         self.before[self.at[inside] + 1] = own[inside]
 
 
+def _read(batches, model):
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            yield row[0], Tokens(model.value, *row[1:])
+
+
 def _questions(model, held_out):
     def run(batches):
-        for c, (answers,) in chunks.rows_of(batches, ("answers",)):
-            t = Tokens(c, model.value, answers or [])
+        for chunk, t in _read(batches, model):
             t.ask()
-            training = np.array([not held_out(d) for d in c.doc_ids], dtype=bool)
+            training = np.array([not held_out(d) for d in t.doc_ids], dtype=bool)
             for k, pairs, runs, blob in t.questions(training):
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([c.number], pa.int64()), pa.array([pairs], pa.int64()), pa.array([runs], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "chunk", "n", "runs", "blob"])
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([chunk], pa.int64()), pa.array([pairs], pa.int64()), pa.array([runs], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "chunk", "n", "runs", "blob"])
 
     return run
 
@@ -325,8 +369,9 @@ def _states(limit: int):
             del parts
             run_of = np.repeat(np.arange(len(heads)), long)
             word = high.astype(np.uint64) << _U(16) | low
-            contexts, state_of = np.unique(heads, return_inverse=True)
-            _, rep, inverse = np.unique(mix64(heads[run_of] + (word << _U(16)) * BY_LEVEL[0]), return_index=True, return_inverse=True)
+            rep, state_of = unique(heads)
+            contexts = heads[rep]
+            rep, inverse = unique(mix64(heads[run_of] + (word << _U(16)) * BY_LEVEL[0]))
             total = np.bincount(inverse, weights=count).astype(np.int64)
             mine = np.flatnonzero(total > 0)
             of = state_of[run_of[rep[mine]]]
@@ -350,27 +395,19 @@ def _states(limit: int):
 
 def _sum(model, held_out):
     def run(batches):
-        for c, (answers,) in chunks.rows_of(batches, ("answers",)):
-            m = model.value
-            t = Tokens(c, m, answers or [])
-            n, said = len(c.doc_ids), t.back > 0
-            text, unknown = t.text[said], (t.count[said] == 0)
-            ln = t.ln[said] if m.tokens else np.zeros(len(text))
-            spelled = np.zeros(len(t.words.hash) + 2)
-            new = np.zeros(len(t.words.hash), dtype=bool)
-            new[t.ids[said][unknown & (t.ids[said] < len(new))]] = True
-            if m.tokens and new.any():
-                spelled[:-2][new] = m.tree.scores(*t.words.pick(new)) - m.rest
-            score = np.bincount(text, weights=ln, minlength=n) / LN10
+        for _, t in _read(batches, model):
+            m, n, said = model.value, len(t.doc_ids), t.back > 0
+            text, count = t.text[said], t.count[said]
+            score = np.bincount(text, weights=t.ln[said], minlength=n) / LN10
             cols = [
-                pa.array(c.doc_ids, pa.int64()),
-                pa.array([held_out(d) for d in c.doc_ids], pa.bool_()),
+                pa.array(t.doc_ids, pa.int64()),
+                pa.array([held_out(d) for d in t.doc_ids], pa.bool_()),
                 pa.array(np.bincount(text, minlength=n).astype(np.int64)),
-                pa.array(np.bincount(text, weights=~unknown, minlength=n).astype(np.int64)),
+                pa.array(np.bincount(text, weights=count > 0, minlength=n).astype(np.int64)),
                 pa.array(np.full(n, m.tokens, dtype=np.int64)),
-                pa.array(np.bincount(text, weights=m.base(t.count[said]), minlength=n)),
+                pa.array(np.bincount(text, weights=m.base(count), minlength=n)),
                 pa.array(score),
-                pa.array(score + np.bincount(text, weights=spelled[t.ids[said]], minlength=n)),
+                pa.array(score + t.spelled),
             ]
             yield pa.record_batch(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"])
 
@@ -380,14 +417,14 @@ def _sum(model, held_out):
 def score(df: DataFrame, held_out=lambda doc_id: crc_of_id(doc_id) % 7 == 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, spelled_score`` for each row; ``held_out(doc_id)`` tells which rows aren't learned from."""
     spark = df.sparkSession
-    own = chunks.build(df, id_col, text_col)
+    own = chunks.build(df, id_col, text_col, size=CHUNK_BYTES)
 
     def trained(batches):
         for b in batches:
             yield pa.record_batch([pa.array([sum(not held_out(d) for d in ids) for ids in b.column(0).to_pylist()], pa.int64())], names=["n"])
 
     texts = own.select("doc_ids").mapInArrow(tidy(trained), "n bigint").agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions(spark), own.count() * chunks.CHUNK_BYTES // BUCKET_BYTES)
+    buckets = max(partitions(spark), own.count() * CHUNK_BYTES // BUCKET_BYTES)
 
     asked = own.mapInArrow(tidy(_ask_words(buckets, held_out)), "bucket int, chunk bigint, n bigint, blob binary")
     counted = stored(chunks.spread(asked, buckets).mapInArrow(tidy(_count_words), _COUNTED), "counted")
@@ -396,11 +433,20 @@ def score(df: DataFrame, held_out=lambda doc_id: crc_of_id(doc_id) % 7 == 2, id_
     words = counted.where("chunk is null").select("sizes", "letters")
     model.tree = spelling.learn(words)
     model.rest = float(np.log10(max(1e-12, 1 - spelling.mass(words, model.tree))))
-    answers = [counted.where("chunk is not null").select("chunk", F.lit(0).alias("level"), "bucket", "blob")]
+    sent = spark.sparkContext.broadcast(model)
+    counts = chunks.answers(counted.where("chunk is not null").select("chunk", "bucket", "blob"), "answers")
+    names = [c.split()[0] for c in _TOKENS.split(", ")]
+    read = stored(own.join(counts, "chunk", "left").mapInArrow(tidy(_tokens(sent, names)), _TOKENS), "tokens")
+    drop_stored(own, counted)
+    model.tree = None
+
+    answers: list[DataFrame] = []
 
     def told() -> DataFrame:
+        if not answers:
+            return read.withColumn("answers", F.expr("cast(null as array<struct<level:int,bucket:int,blob:binary>>)"))
         every = reduce(DataFrame.unionByName, answers)
-        return own.join(every.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("level", "bucket", "blob"))).alias("answers")), "chunk", "left")
+        return read.join(every.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("level", "bucket", "blob"))).alias("answers")), "chunk", "left")
 
     for level in range(1, DEPTH + 1):
         sent = spark.sparkContext.broadcast(model)
