@@ -79,8 +79,7 @@ def partitions(spark: SparkSession) -> int:
 def dealt(df: DataFrame) -> DataFrame:
     """Deal a table out to all cores if it is small; one file of it is one task otherwise. Larger ones have files enough."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    few = size.compareTo(df.sparkSession.sparkContext._jvm.scala.math.BigInt.apply(SMALL_TABLE)) < 0
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
 
 
 def small(batches):
