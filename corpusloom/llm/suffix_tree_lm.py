@@ -21,7 +21,8 @@ over all texts.
 
 Counting goes by chunk of documents, one level of contexts after the other. A chunk sends its
 distinct pairs of a context and a next symbol to the buckets of a hash space and gets their counts
-and the states back. The count of a context is that of a pair one level below, so a chunk asks
+and the states back. A pair whose shorter one nobody has seen, or nobody but this chunk, needs no asking: such ones go
+as sums of their context. The count of a context is that of a pair one level below, so a chunk asks
 for contexts with ``LEAST_COUNT`` only. Buckets grow in number with the texts; a context that
 would fill more than one is dealt out by its next symbols too, and its sums meet in an aggregation.
 There is no cap on contexts: what is kept grows with the corpus.
@@ -63,6 +64,12 @@ END_HASH, START_HASH = mix64(np.array([11, 12], dtype=np.uint64))
 BY_LEVEL = mix64(np.arange(101, 102 + DEPTH, dtype=np.uint64)) | _U(1)
 SALT = _U(0xD6E8FEB86659FD93)
 LN10 = np.log(10.0)
+#: Marks a count of one for which other chunks asked too.
+SHARED = 1 << 62
+
+
+def marked(total: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    return total | np.where((total == 1) & (np.bincount(inverse, minlength=len(total)) > 1), SHARED, 0)
 
 
 def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -184,7 +191,7 @@ def _count_words(batches):
         known = rep[total > 0]
         sums = (int(total.sum()), len(known), int((total == 1).sum()), int((total == 2).sum()))
         yield row(None, bucket, None, sizes[known].astype("<u4").tobytes(), gather(letters, first[known], sizes[known]).tobytes(), *sums)
-        at = 0
+        total, at = marked(total, inverse), 0
         for _, chunk, n, _ in rows:
             yield row(chunk, bucket, chunks.squeezed(total[inverse[at : at + n]].astype("<u8").tobytes()), None, None, 0, 0, 0, 0)
             at += n
@@ -253,12 +260,14 @@ def _tokens(model, names):
 class Tokens:
     """The texts of a chunk as tokens: a start, the words and an end each; their ln probabilities so far, and how often the next context occurs."""
 
-    def __init__(self, model: Model, doc_ids, sizes, spelled, words, ids, answers: list) -> None:
+    def __init__(self, model: Model, held_out, doc_ids, sizes, spelled, words, ids, answers: list) -> None:
         self.model, self.doc_ids, n = model, doc_ids, len(doc_ids)
         self.spelled = np.frombuffer(chunks.expanded(spelled))
+        self.training = np.array([not held_out(d) for d in doc_ids], dtype=bool)
         own = np.frombuffer(chunks.expanded(words), np.uint64)
         known = len(own) // 2
-        count = np.r_[own[known:].astype(np.int64), model.texts, model.texts]
+        told = np.r_[own[known:].astype(np.int64), model.texts | SHARED, model.texts]
+        count = told & (SHARED - 1)
         sizes = np.frombuffer(chunks.expanded(sizes), "<u4").astype(np.int64)
         planes = np.frombuffer(chunks.expanded(ids), "<u2")
         said = np.arange(int(sizes.sum())) + 2 * np.repeat(np.arange(n), sizes) + 1
@@ -272,6 +281,7 @@ class Tokens:
         self.count = count[self.ids]
         self.ln = model.root(count)[self.ids]
         self.before = np.r_[0, self.count[:-1]]  # count of the context of the next level
+        self.so_far = told[self.ids]  # count of the symbol in the context of the level so far
         self.context = np.zeros(len(self.ids), dtype=np.uint64)
         self.level = 0
         for k in range(1, 1 + max((a["level"] for a in answers or []), default=0)):
@@ -297,33 +307,40 @@ class Tokens:
         turns = np.r_[True, (self.route[1:] != self.route[:-1]) | (self.pair_context[1:] != self.pair_context[:-1])] if len(order) else np.zeros(0, dtype=bool)
         self.run = np.cumsum(turns) - 1
         self.begins = np.r_[np.flatnonzero(turns), len(order)]
+        self.here = np.bincount(self.pair, weights=self.training[self.text[self.at]], minlength=len(order)).astype(np.int64)
+        shorter = self.so_far[self.pair_at]
+        self.known = np.where(shorter == 0, 0, np.where((shorter == 1) & (self.here == 1), 1, -1))  # counts without asking
         self.cut = np.searchsorted(chunks.bucket_of(self.route, self.model.buckets), np.arange(self.model.buckets + 1))
 
-    def questions(self, training: np.ndarray):
-        """``(bucket, pairs, runs, blob)``: contexts with their counts, and their next symbols with counts in this chunk and ln probabilities in the states so far."""
-        count = np.bincount(self.pair, weights=training[self.text[self.at]], minlength=len(self.route)).astype("<u4")
+    def questions(self):
+        """``(bucket, pairs, runs, blob)``: contexts with their counts and sums of pairs known already, and the other next symbols with counts in this chunk and ln probabilities in the states so far."""
         ln = self.ln[self.pair_at].astype("<f2")
         for k in np.flatnonzero(np.diff(self.cut)).tolist():
             lo, hi = self.cut[k], self.cut[k + 1]
             a, b = np.searchsorted(self.begins, [lo, hi])
-            word = self.pair_word[lo:hi]
-            heads = self.begins[a:b]
-            parts = (self.pair_context[heads], self.before[self.pair_at[heads]].astype("<u8"), np.diff(np.r_[heads, hi]).astype("<u4"), (word >> _U(16)).astype("<u4"), word.astype("<u2"), count[lo:hi], ln[lo:hi])
-            yield k, int(hi - lo), int(b - a), chunks.squeezed(b"".join(x.tobytes() for x in parts))
+            heads, run, ask, one = self.begins[a:b], self.run[lo:hi] - a, self.known[lo:hi] < 0, self.known[lo:hi] == 1
+            often = self.before[self.pair_at[heads]]
+            word, rows = self.pair_word[lo:hi][ask], int(b - a)
+            once = np.bincount(run[one], minlength=rows)
+            gain = np.bincount(run[one], weights=-np.log(often[run[one]]) - ln[lo:hi][one].astype(np.float64), minlength=rows)
+            parts = (self.pair_context[heads], often.astype("<u8"), np.bincount(run[ask], minlength=rows).astype("<u4"), once.astype("<u4"), gain.astype("<f4"), (word >> _U(16)).astype("<u4"), word.astype("<u2"), self.here[lo:hi][ask].astype("<u4"), ln[lo:hi][ask])
+            yield k, int(ask.sum()), rows, chunks.squeezed(b"".join(x.tobytes() for x in parts))
 
     def learn(self, answers: list) -> None:
         """Take the counts and states of this level in."""
-        total, symbols = np.zeros(len(self.route), dtype=np.int64), np.zeros(len(self.begins) - 1, dtype=np.int64)
+        total, symbols = np.maximum(self.known, 0), np.zeros(len(self.begins) - 1, dtype=np.int64)
         for a in answers:
             lo, hi = self.cut[a["bucket"]], self.cut[a["bucket"] + 1]
             x, y = np.searchsorted(self.begins, [lo, hi])
             data = chunks.expanded(a["blob"])
-            total[lo:hi] = np.frombuffer(data, "<u8", hi - lo)
-            symbols[x:y] = np.frombuffer(data, "<u8", y - x, 8 * (hi - lo))
+            symbols[x:y] = np.frombuffer(data, "<u8", y - x)
+            total[lo + np.flatnonzero(self.known[lo:hi] < 0)] = np.frombuffer(data, "<u8", -1, 8 * (y - x))
         heads = self.begins[:-1]
         hot = self.before[self.pair_at[heads]] > self.model.limit
         symbols[hot] = self.model.spread_state(self.level, self.pair_context[heads[hot]])
-        d, own, often = symbols[self.run][self.pair], total[self.pair], self.before[self.at]
+        self.so_far = np.zeros_like(self.before)
+        self.so_far[self.at] = total[self.pair]
+        d, own, often = symbols[self.run][self.pair], self.so_far[self.at] & (SHARED - 1), self.before[self.at]
         there = d > 0
         at = self.at[there]
         self.ln[at] = np.log((np.maximum(own[there] - DISCOUNT, 0) + DISCOUNT * d[there] * np.exp(self.ln[at])) / often[there])
@@ -332,18 +349,17 @@ class Tokens:
         self.before[self.at[inside] + 1] = own[inside]
 
 
-def _read(batches, model):
+def _read(batches, model, held_out):
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            yield row[0], Tokens(model.value, *row[1:])
+            yield row[0], Tokens(model.value, held_out, *row[1:])
 
 
 def _questions(model, held_out):
     def run(batches):
-        for chunk, t in _read(batches, model):
+        for chunk, t in _read(batches, model, held_out):
             t.ask()
-            training = np.array([not held_out(d) for d in t.doc_ids], dtype=bool)
-            for k, pairs, runs, blob in t.questions(training):
+            for k, pairs, runs, blob in t.questions():
                 yield pa.record_batch([pa.array([k], pa.int32()), pa.array([chunk], pa.int64()), pa.array([pairs], pa.int64()), pa.array([runs], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "chunk", "n", "runs", "blob"])
 
     return run
@@ -359,13 +375,12 @@ def _states(limit: int):
             parts = []
             for _, _, n, runs, blob in rows:
                 data = chunks.expanded(blob)
-                sizes = [(runs, np.uint64), (runs, np.dtype("<u8")), (runs, np.dtype("<u4")), (n, np.dtype("<u4")), (n, np.dtype("<u2")), (n, np.dtype("<u4")), (n, np.dtype("<f2"))]
                 own, at = [], 0
-                for many, kind in sizes:
+                for many, kind in [*((runs, x) for x in ("<u8", "<u8", "<u4", "<u4", "<f4")), *((n, x) for x in ("<u4", "<u2", "<u4", "<f2"))]:
                     own.append(np.frombuffer(data, kind, many, at))
                     at += many * np.dtype(kind).itemsize
                 parts.append(own)
-            heads, often, long, high, low, count, ln = (np.concatenate(x) for x in zip(*parts, strict=True))
+            heads, often, long, once, alone, high, low, count, ln = (np.concatenate(x) for x in zip(*parts, strict=True))
             del parts
             run_of = np.repeat(np.arange(len(heads)), long)
             word = high.astype(np.uint64) << _U(16) | low
@@ -377,16 +392,16 @@ def _states(limit: int):
             of = state_of[run_of[rep[mine]]]
             occurs = np.zeros(len(contexts), dtype=np.int64)
             occurs[state_of] = often
-            symbols = np.bincount(of, minlength=len(contexts))
+            symbols = np.bincount(of, minlength=len(contexts)) + np.bincount(state_of, weights=once, minlength=len(contexts)).astype(np.int64)
             seen = total[mine]
-            gain = np.bincount(of, weights=seen * (np.log(seen / occurs[of]) - ln[rep[mine]].astype(np.float64)), minlength=len(contexts))
+            gain = np.bincount(state_of, weights=alone, minlength=len(contexts)) + np.bincount(of, weights=seen * (np.log(seen / occurs[of]) - ln[rep[mine]].astype(np.float64)), minlength=len(contexts))
             hot = np.flatnonzero(occurs > limit)
             if len(hot):
                 yield pa.record_batch([pa.nulls(len(hot), pa.int64()), pa.array(np.full(len(hot), bucket), pa.int32()), pa.nulls(len(hot), pa.binary()), pa.array(contexts[hot].view(np.int64)), pa.array(symbols[hot], pa.int64()), pa.array(gain[hot])], names=names)
             state = np.where((gain >= LEAST_GAIN) & (occurs <= limit), symbols, 0)
-            at = start = 0
+            total, at, start = marked(total, inverse), 0, 0
             for _, chunk, n, runs, _ in rows:
-                blob = chunks.squeezed(total[inverse[at : at + n]].astype("<u8").tobytes() + state[state_of[start : start + runs]].astype("<u8").tobytes())
+                blob = chunks.squeezed(state[state_of[start : start + runs]].astype("<u8").tobytes() + total[inverse[at : at + n]].astype("<u8").tobytes())
                 yield pa.record_batch([pa.array([x], k) for x, k in zip((chunk, bucket, blob, None, None, None), kinds, strict=True)], names=names)
                 at, start = at + n, start + runs
 
@@ -395,13 +410,13 @@ def _states(limit: int):
 
 def _sum(model, held_out):
     def run(batches):
-        for _, t in _read(batches, model):
+        for _, t in _read(batches, model, held_out):
             m, n, said = model.value, len(t.doc_ids), t.back > 0
             text, count = t.text[said], t.count[said]
             score = np.bincount(text, weights=t.ln[said], minlength=n) / LN10
             cols = [
                 pa.array(t.doc_ids, pa.int64()),
-                pa.array([held_out(d) for d in t.doc_ids], pa.bool_()),
+                pa.array(~t.training),
                 pa.array(np.bincount(text, minlength=n).astype(np.int64)),
                 pa.array(np.bincount(text, weights=count > 0, minlength=n).astype(np.int64)),
                 pa.array(np.full(n, m.tokens, dtype=np.int64)),
