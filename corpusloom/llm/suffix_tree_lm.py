@@ -10,7 +10,7 @@ before a symbol; the start of a text counts as a token there.
 * A longer context s is a state if it occurs ``LEAST_COUNT`` times and its next-symbol distribution
   diverges from that of its longest suffix t that is a state: the sum over next symbols w of
   c(s, w) ln(c(s, w) / c(s) / P(w | t)) is at least ``LEAST_GAIN`` nats. (ln P(w | t) goes into this
-  test in half precision.)
+  test in steps of an eighth, 255 of them at most.)
 * P(w | s) = (max(c(s, w) - DISCOUNT, 0) + DISCOUNT d(s) P(w | t)) / c(s), where d(s) is the number of
   different symbols seen after s. It sums to one, unknown class included.
 
@@ -28,8 +28,8 @@ would fill more than one is dealt out by its next symbols too, and its sums meet
 There is no cap on contexts: what is kept grows with the corpus.
 
 Counts of single tokens, and with them all columns but the scores, are exact: words with equal
-hashes are told apart by their bytes. Longer contexts go by 64-bit hashes and their next symbols
-by 48 bits, so that two that share one count as one.
+hashes are told apart by their bytes. Longer contexts go by hashes of 48 bits within a bucket (some less beyond 65,536 buckets)
+and their next symbols by 40 bits within a context, so that two that share one count as one.
 
 Null texts count as empty and have one token, the end. Without any training text every token is
 unknown, with probability one, and scores are zero, as base scores are. Repeated rows count as often as they occur.
@@ -52,7 +52,7 @@ LEAST_COUNT = 2
 LEAST_GAIN = 4.0
 DISCOUNT = 0.75
 #: Bytes of text in a chunk, and for each bucket.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
 #: A context is spread over several buckets beyond this count and its fair share of all tokens.
 HOT = 1 << 16
 LOWER = np.arange(256, dtype=np.uint8)
@@ -296,17 +296,22 @@ class Tokens:
         self.at = np.flatnonzero((self.back >= k) & (self.before >= LEAST_COUNT))
         context, word = self.context[self.at], self.hash[self.ids[self.at]]
         rep, inverse = unique(mix64(context + word * BY_LEVEL[0]))
-        context, word, often = context[rep], word[rep] >> _U(16), self.before[self.at[rep]]
+        context, word, often = context[rep], word[rep] >> _U(24), self.before[self.at[rep]]
         shares = ((often - 1) // self.model.limit + 1).astype(np.uint64)
         route = mix64(context + word % shares * SALT)
+        buckets = self.model.buckets
+        free = _U(min(48, 64 - buckets.bit_length()))
+        route = chunks.bucket_of(route, buckets).astype(np.uint64) << free | route & ((_U(1) << free) - _U(1))
         order = np.argsort(route, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         self.pair = place[inverse]  # of each asked place
-        self.route, self.pair_context, self.pair_word, self.pair_at = route[order], context[order], word[order], self.at[rep[order]]
-        turns = np.r_[True, (self.route[1:] != self.route[:-1]) | (self.pair_context[1:] != self.pair_context[:-1])] if len(order) else np.zeros(0, dtype=bool)
+        route, self.pair_context, self.pair_word, self.pair_at = route[order], context[order], word[order], self.at[rep[order]]
+        turns = np.r_[True, route[1:] != route[:-1]] if len(order) else np.zeros(0, dtype=bool)
         self.run = np.cumsum(turns) - 1
         self.begins = np.r_[np.flatnonzero(turns), len(order)]
+        self.route = route & ((_U(1) << free) - _U(1))
+        self.cut = np.searchsorted(route >> free, np.arange(buckets + 1, dtype=np.uint64))
         self.here = np.bincount(self.pair, weights=self.training[self.text[self.at]], minlength=len(order)).astype(np.int64)
         shorter = self.so_far[self.pair_at]
         self.known = np.where(shorter == 0, 0, np.where((shorter == 1) & (self.here == 1), 1, -1))  # counts without asking
@@ -314,7 +319,7 @@ class Tokens:
 
     def questions(self):
         """``(bucket, pairs, runs, blob)``: contexts with their counts and sums of pairs known already, and the other next symbols with counts in this chunk and ln probabilities in the states so far."""
-        ln = self.ln[self.pair_at].astype("<f2")
+        ln = np.minimum(np.rint(-8 * self.ln[self.pair_at]), 255).astype(np.uint8)
         for k in np.flatnonzero(np.diff(self.cut)).tolist():
             lo, hi = self.cut[k], self.cut[k + 1]
             a, b = np.searchsorted(self.begins, [lo, hi])
@@ -322,8 +327,10 @@ class Tokens:
             often = self.before[self.pair_at[heads]]
             word, rows = self.pair_word[lo:hi][ask], int(b - a)
             once = np.bincount(run[one], minlength=rows)
-            gain = np.bincount(run[one], weights=-np.log(often[run[one]]) - ln[lo:hi][one].astype(np.float64), minlength=rows)
-            parts = (self.pair_context[heads], often.astype("<u8"), np.bincount(run[ask], minlength=rows).astype("<u4"), once.astype("<u4"), gain.astype("<f4"), (word >> _U(16)).astype("<u4"), word.astype("<u2"), self.here[lo:hi][ask].astype("<u4"), ln[lo:hi][ask])
+            gain = np.bincount(run[one], weights=ln[lo:hi][one] / 8 - np.log(often[run[one]]), minlength=rows)
+            step = np.diff(self.route[heads], prepend=_U(0))
+            hot = self.pair_context[heads[often > self.model.limit]]
+            parts = ((step >> _U(32)).astype("<u4"), step.astype("<u4"), often.astype("<u8"), np.bincount(run[ask], minlength=rows).astype("<u4"), once.astype("<u4"), gain.astype("<f4"), (word >> _U(32)).astype(np.uint8), word.astype("<u4"), self.here[lo:hi][ask].astype("<u4"), ln[lo:hi][ask], hot)
             yield k, int(ask.sum()), rows, chunks.squeezed(b"".join(x.tobytes() for x in parts))
 
     def learn(self, answers: list) -> None:
@@ -376,17 +383,21 @@ def _states(limit: int):
             for _, _, n, runs, blob in rows:
                 data = chunks.expanded(blob)
                 own, at = [], 0
-                for many, kind in [*((runs, x) for x in ("<u8", "<u8", "<u4", "<u4", "<f4")), *((n, x) for x in ("<u4", "<u2", "<u4", "<f2"))]:
+                for many, kind in [*((runs, x) for x in ("<u4", "<u4", "<u8", "<u4", "<u4", "<f4")), *((n, x) for x in ("u1", "<u4", "<u4", "u1")), (-1, "<u8")]:
                     own.append(np.frombuffer(data, kind, many, at))
                     at += many * np.dtype(kind).itemsize
-                parts.append(own)
-            heads, often, long, once, alone, high, low, count, ln = (np.concatenate(x) for x in zip(*parts, strict=True))
+                own[:2] = [np.cumsum(own[0].astype(np.uint64) << _U(32) | own[1])]
+                spread = np.zeros(runs, dtype=np.uint64)
+                spread[own[1] > limit] = own.pop()
+                parts.append([*own, spread])
+            heads, often, long, once, alone, high, low, count, ln, spread = (np.concatenate(x) for x in zip(*parts, strict=True))
             del parts
             run_of = np.repeat(np.arange(len(heads)), long)
-            word = high.astype(np.uint64) << _U(16) | low
-            rep, state_of = unique(heads)
-            contexts = heads[rep]
-            rep, inverse = unique(mix64(heads[run_of] + (word << _U(16)) * BY_LEVEL[0]))
+            word = high.astype(np.uint64) << _U(32) | low
+            # shares of a spread context are one here
+            rep, state_of = unique(np.where(often > limit, mix64(spread), heads))
+            contexts = spread[rep]
+            rep, inverse = unique(mix64(heads[run_of] * BY_LEVEL[1] + word * BY_LEVEL[0]))
             total = np.bincount(inverse, weights=count).astype(np.int64)
             mine = np.flatnonzero(total > 0)
             of = state_of[run_of[rep[mine]]]
@@ -394,7 +405,7 @@ def _states(limit: int):
             occurs[state_of] = often
             symbols = np.bincount(of, minlength=len(contexts)) + np.bincount(state_of, weights=once, minlength=len(contexts)).astype(np.int64)
             seen = total[mine]
-            gain = np.bincount(state_of, weights=alone, minlength=len(contexts)) + np.bincount(of, weights=seen * (np.log(seen / occurs[of]) - ln[rep[mine]].astype(np.float64)), minlength=len(contexts))
+            gain = np.bincount(state_of, weights=alone, minlength=len(contexts)) + np.bincount(of, weights=seen * (np.log(seen / occurs[of]) + ln[rep[mine]] / 8), minlength=len(contexts))
             hot = np.flatnonzero(occurs > limit)
             if len(hot):
                 yield pa.record_batch([pa.nulls(len(hot), pa.int64()), pa.array(np.full(len(hot), bucket), pa.int32()), pa.nulls(len(hot), pa.binary()), pa.array(contexts[hot].view(np.int64)), pa.array(symbols[hot], pa.int64()), pa.array(gain[hot])], names=names)

@@ -154,7 +154,7 @@ def suffix_tree_by_hand(texts, held):
         for s, seen in after.items():
             total = sum(seen.values())
             if len(s) == k and total >= suffix_tree_lm.LEAST_COUNT:
-                gain = sum(x * (np.log(x / total) - float(np.float16(np.log(probability(s, w, k - 1))))) for w, x in seen.items())
+                gain = sum(x * (np.log(x / total) - max(-255, np.rint(8 * np.log(probability(s, w, k - 1)))) / 8) for w, x in seen.items())
                 if gain >= suffix_tree_lm.LEAST_GAIN:
                     new[s] = total, seen
         states.update(new)
