@@ -1,56 +1,75 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
-Words are runs of letters, digits and underscores, case folded. Word counts over all documents
-give the chance frequency of every n-gram of a test item; those that at most ``RARE`` documents
-would hold by chance are its seeds, and the rarest quarter of its n-grams always are. Chance
-frequency, not the count of the n-gram itself, decides, so an item that leaked into very many
-documents keeps its seeds. Seeds join documents to items; around every seed the document's words
-are aligned to the item's (match 2, mismatch and gap -1). A document leaks an item if the best
-alignment reaches ``COVERED`` of the item's full score, or matches ``RUN`` words in a row.
+Words are runs of letters, marks, digits and underscores of any script, case folded; every letter
+of a script that is written without spaces is a word by itself. All else separates words. Word
+counts over all documents give the chance frequency of every pair of neighbours of a test item;
+those that at most ``RARE`` documents would hold by chance are its seeds, and the rarest half always
+are. Chance frequency, not the count of the pair itself, decides, so an item that leaked into very
+many documents keeps its seeds. Seeds join documents to items; around every seed the document's
+words are aligned to the item's (match 2, mismatch and gap -1). A document leaks an item if the
+best alignment reaches ``COVERED`` of the item's full score, or matches ``RUN`` words in a row. Items of
+fewer than ``WHOLE`` words are too short to be told from chance when edited, so they leak where all
+their words stand in a row. An item without words never leaks.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, each of which is
-sent to all tasks and run against all documents. Null texts count as empty. Items of fewer than
-``SHORTEST`` words are told from chance by nothing and are left out. Repeated items and rows each
-get their matches; an empty benchmark or table gives none.
+sent to all tasks and run against all documents. Null texts count as empty. Repeated items and
+rows each get their matches; an empty benchmark or table gives none. Words are compared by 64-bit
+hashes.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import mix64, tidy
+from .common import hash_runs, mix64, tidy
 
 N = 2
 RARE = 1e-4
 COVERED, RUN = 0.5, 13
-SHORTEST = 5
+WHOLE = 5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 8 << 20
+#: Words of a document that are aligned at once, besides three times those of the item.
+WINDOW = 4096
 _U = np.uint64
-IS_WORD = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
-PLACED = mix64(np.arange(1, 257, dtype=np.uint64))
-BY_PLACE = mix64(np.arange(1001, 5097, dtype=np.uint64)) | _U(1)
+LETTERS = mix64(np.arange(1, 0x110001, dtype=np.uint64))
+#: Blocks of scripts that are written without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, kana, ideographs).
+SPACELESS = [(0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """Of each code point: 0 separates words, 1 is part of one, 2 is one."""
+    out = np.array([unicodedata.category(chr(c))[0] in "LMN" for c in range(0x20000)] + [False] * 0xF0000, dtype=np.uint8)
+    out[0x20000:0x40000] = 1
+    out[ord("_")] = 1
+    for low, high in SPACELESS:
+        out[low : high + 1] *= 2
+    return out
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of all texts, and the offset of each text's first word, closed by their number."""
-    data = np.frombuffer("\n".join(t.lower() for t in texts).encode() + b"\n", dtype=np.uint8)
-    there = IS_WORD[data]
+    folded = [t.casefold() for t in texts]
+    data = np.frombuffer("\n".join([*folded, ""]).encode("utf-32-le", "replace"), dtype="<u4")
+    kind = kinds()[data]
+    there = kind > 0
     begins = there.copy()
-    begins[1:] &= ~there[:-1]
-    letters = data[there]
-    first = (np.cumsum(there) - 1)[begins]
-    if not len(first):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
-    place = np.arange(len(letters)) - np.repeat(first, np.diff(np.r_[first, len(letters)]))
-    h = mix64(np.add.reduceat(PLACED[letters] * BY_PLACE[place % len(BY_PLACE)], first))
-    ends = np.cumsum([len(t.lower().encode()) + 1 for t in texts])
-    return h, np.searchsorted(np.flatnonzero(begins), np.r_[0, ends])
+    begins[1:] &= ~there[:-1] | (kind[1:] == 2) | (kind[:-1] == 2)
+    closes = there.copy()
+    closes[:-1] &= ~there[1:] | begins[1:]
+    at = np.flatnonzero(begins)
+    sizes = np.flatnonzero(closes) + 1 - at
+    h = hash_runs(data[there], LETTERS, np.cumsum(sizes) - sizes, sizes)
+    return h, np.searchsorted(at, np.cumsum([0, *(len(t) + 1 for t in folded)]))
 
 
 def grams(h: np.ndarray, n: int = N) -> np.ndarray:
@@ -61,36 +80,29 @@ def grams(h: np.ndarray, n: int = N) -> np.ndarray:
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Best local alignment: score, matches on the way, longest run of matches anywhere, and the span in ``words``."""
+    """Best local alignment: score, matches on the way, longest run of matches anywhere, and the span in ``words``.
+
+    A cell holds score, place of the start and matches in one number, so one row is enough.
+    """
     m = len(words)
-    drop = np.arange(m + 1) * -GAP
-    above, run = np.zeros(m + 1, dtype=np.int64), np.zeros(m + 1, dtype=np.int64)
-    table, longest, best, at = [above], 0, 0, (0, 0)
-    for i, w in enumerate(item, 1):
+    place, unit = np.arange(m + 1) << 21, 1 << 42
+    drop = np.arange(m + 1) * (-GAP * unit)
+    above, run = place, np.zeros(m + 1, dtype=np.int64)
+    best, end, longest = 0, 0, 0
+    for w in item:
         same = words == w
-        now = np.zeros(m + 1, dtype=np.int64)
-        now[1:] = np.maximum(above[:-1] + np.where(same, MATCH, MISMATCH), above[1:] + GAP)
-        now = np.maximum(np.maximum.accumulate(np.maximum(now, 0) + drop) - drop, 0)
+        now = place.copy()
+        now[1:] = np.maximum(now[1:], np.maximum(above[:-1] + np.where(same, MATCH * unit + 1, MISMATCH * unit), above[1:] + GAP * unit))
+        now = np.maximum.accumulate(now + drop) - drop
+        now = np.maximum(now, place)
         run[1:] = np.where(same, run[:-1] + 1, 0)
         longest = max(longest, int(run.max()))
-        k = int(now.argmax())
-        if now[k] > best:
-            best, at = int(now[k]), (i, k)
-        table.append(now)
+        k = int((now >> 42).argmax())
+        if now[k] >> 42 > best >> 42:
+            best, end = int(now[k]), k
         above = now
-    (i, j), matches = at, 0
-    end = j
-    while i and j and table[i][j] > 0:
-        here = table[i][j]
-        same = item[i - 1] == words[j - 1]
-        if here == table[i - 1][j - 1] + (MATCH if same else MISMATCH):
-            matches += bool(same)
-            i, j = i - 1, j - 1
-        elif here == table[i - 1][j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best, matches, longest, j, end
+    start = best >> 21 & (1 << 21) - 1
+    return best >> 42, best & (1 << 21) - 1, longest, start if best else 0, end
 
 
 class Index:
@@ -101,9 +113,11 @@ class Index:
         self.items = items
         key, item, offset = [], [], []
         for number, (_, h) in enumerate(items):
+            if len(h) < WHOLE:
+                continue
             share = np.array([chance.get(int(x), 0.0) for x in h])
             expected = np.prod([share[k : len(h) - N + 1 + k] for k in range(N)], axis=0) * doc_words
-            rare = (expected <= RARE) | (expected <= np.quantile(expected, 0.25))
+            rare = (expected <= RARE) | (expected <= np.quantile(expected, 0.5))
             g = grams(h)[rare]
             key.append(g)
             item.append(np.full(len(g), number))
@@ -112,6 +126,10 @@ class Index:
         key = np.concatenate([none.astype(np.uint64), *key])
         order = np.argsort(key, kind="stable")
         self.key, self.item, self.offset = key[order], np.concatenate([none, *item])[order], np.concatenate([none, *offset])[order]
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for number, (_, h) in enumerate(items):
+            if 0 < len(h) < WHOLE:
+                self.short.setdefault(len(h), {}).setdefault(int(grams(h, len(h))[0]), []).append(number)
         self.low = np.zeros(1 << 20, dtype=bool)
         self.low[(self.key & _U(0xFFFFF)).astype(np.int64)] = True
 
@@ -119,6 +137,15 @@ class Index:
         """The leaked items of each text."""
         h, starts = word_hashes(texts)
         out: list[list[dict]] = [[] for _ in texts]
+        seen: set[tuple[int, int]] = set()
+        for size, own in self.short.items():
+            g = grams(h, size)
+            for at in np.flatnonzero(np.isin(g, np.array(list(own), dtype=np.uint64))).tolist():
+                doc = int(np.searchsorted(starts, at, side="right")) - 1
+                if at + size <= starts[doc + 1]:
+                    start = at - int(starts[doc])
+                    out[doc] += [{"item_id": self.items[i][0], "score": 1.0, "n_matched": size, "start_word": start, "end_word": start + size} for i in own[int(g[at])] if (doc, i) not in seen]
+                    seen.update((doc, i) for i in own[int(g[at])])
         g = grams(h)
         at = np.flatnonzero(self.low[(g & _U(0xFFFFF)).astype(np.int64)])
         lo, hi = np.searchsorted(self.key, g[at]), np.searchsorted(self.key, g[at], side="right")
@@ -147,15 +174,18 @@ class Index:
         cuts = np.flatnonzero(np.diff(begin) > 2 * size) + 1
         top = None
         for part in np.split(begin, cuts):
-            a, b = max(low, int(part[0]) - size // 2), min(high, int(part[-1]) + size + size // 2)
-            words = h[a:b]
-            shared = int(np.isin(own, words).sum())
-            if shared < COVERED * size and shared < RUN:
-                continue  # no alignment can match more than that
-            score, matched, run, start, end = align(own, words)
-            if score >= COVERED * MATCH * size or run >= RUN:
-                got = (score / (MATCH * size), matched, a - low + start, a - low + end)
-                top = max(top, got) if top else got
+            first, last = max(low, int(part[0]) - size // 2), min(high, int(part[-1]) + size + size // 2)
+            # an alignment that counts spans at most three times the item, so it lies in one of the windows whole
+            for a in range(first, max(first + 1, last - 3 * size), WINDOW):
+                b = min(last, a + WINDOW + 3 * size)
+                words = h[a:b]
+                shared = int(np.isin(own, words).sum())
+                if shared < COVERED * size and shared < RUN:
+                    continue  # no alignment can match more than that
+                score, matched, run, start, end = align(own, words)
+                if score >= COVERED * MATCH * size or run >= RUN:
+                    got = (score / (MATCH * size), matched, a - low + start, a - low + end)
+                    top = max(top, got) if top else got
         return top and {"item_id": name, "score": top[0], "n_matched": top[1], "start_word": top[2], "end_word": top[3]}
 
 
@@ -189,13 +219,12 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str):
         rows = benchmark.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k).select(item_col, text_col).collect()
         rows = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         items = [(name, word_hashes([text])[0]) for name, text in rows]
-        items = [(name, h) for name, h in items if len(h) >= SHORTEST]
         if items:
             yield items
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` and ``leaks array<struct<item_id, score, n_matched, start_word, end_word>>``, one entry for each item that the text leaks."""
+    """The rows of ``docs`` and ``leaks array<struct<item_id, score, n_matched, start_word, end_word>>``, one entry for each item that the text leaks. A column ``leaks`` that ``docs`` has is replaced."""
     spark = docs.sparkSession
     docs = docs.drop("leaks")
     at, plain = docs.columns.index(text_col), docs.schema

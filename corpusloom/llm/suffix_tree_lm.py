@@ -45,14 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks, spelling
-from .common import crc_of_id, drop_stored, mix64, partitions, stored, tidy
+from .common import crc_of_id, drop_stored, hash_runs, mix64, partitions, stored, tidy
 
 DEPTH = 3
 LEAST_COUNT = 2
 LEAST_GAIN = 4.0
 DISCOUNT = 0.75
 #: Bytes of text in a chunk, and for each bucket.
-CHUNK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: A context is spread over several buckets beyond this count and its fair share of all tokens.
 HOT = 1 << 16
 LOWER = np.arange(256, dtype=np.uint8)
@@ -88,17 +88,8 @@ def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def hashes(letters: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; words follow each other without gaps. Each place of a letter has its own factor."""
-    out = np.zeros(len(first), dtype=np.uint64)
-    at = 0
-    while at < len(first):  # some words at a time, to bound memory
-        to = max(at + 1, int(np.searchsorted(first, first[at] + (1 << 20))))
-        a, b = int(first[at]), int(first[to - 1] + sizes[to - 1])
-        place = np.arange(b - a, dtype=np.uint64) - np.repeat(first[at:to] - a, sizes[at:to]).astype(np.uint64)
-        factor = (mix64(np.arange(5001, 5001 + int(sizes[at:to].max()), dtype=np.uint64)) | _U(1))[place]
-        out[at:to] = np.add.reduceat(PLACED[letters[a:b]] * factor, first[at:to] - a)
-        at = to
-    return mix64(out ^ sizes.astype(np.uint64))
+    """A 64-bit hash of each word; words follow each other without gaps."""
+    return hash_runs(letters, PLACED, first, sizes)
 
 
 def gather(letters: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
