@@ -141,3 +141,19 @@ def iso_utc(ts: Column) -> Column:
 def memory_band(free_gb: Column) -> Column:
     """Free accelerator memory: below 4 GB too little, below 8 GB low."""
     return F.when(free_gb.isNull(), "unknown").when(free_gb < 4, "too-low").when(free_gb < 8, "low").otherwise("ok")
+
+
+def content_hash(data: Column) -> Column:
+    """Lower-case SHA-256 of a text's or file's bytes."""
+    return F.sha2(data.cast("binary"), 256)
+
+
+def yaml_block(fields: dict[str, Column]) -> Column:
+    """``key: value`` lines between ``---`` lines, values quoted where YAML needs it; nulls are left out."""
+    rows = F.array_compact(F.array(*(F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), yaml_scalar(v.cast("string")))) for k, v in fields.items())))
+    return F.concat(F.lit("---\n"), F.array_join(F.transform(rows, lambda x: F.concat(x, F.lit("\n"))), ""), F.lit("---\n"))
+
+
+def record_json(fields: dict[str, Column]) -> Column:
+    """The same fields as one JSON object; nulls are left out."""
+    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))

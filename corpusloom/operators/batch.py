@@ -21,12 +21,13 @@ def log_tail(log: Column, lines: int = 50) -> Column:
 
 
 def paired(files: DataFrame) -> DataFrame:
-    """``stem`` of every file -> ``pdf, supplement, role``: mains with their first supplement, supplements without a main as mains."""
+    """``stem`` of every file -> ``pdf, supplement, role``: mains with their first supplement, its further ones, and supplements without a main."""
     si = files.where(F.col("stem").rlike(_SUPPLEMENT)).select(F.col("stem").alias("si"), F.lower(F.regexp_extract("stem", _SUPPLEMENT, 1)).alias("base"))
     mains = files.where(~F.col("stem").rlike(_SUPPLEMENT)).select("stem", F.lower(F.when(F.col("stem").rlike(_MAIN), F.regexp_extract("stem", _MAIN, 1)).otherwise(F.col("stem"))).alias("base"))
     first = si.groupBy("base").agg(F.min("si").alias("supplement"))
     orphans = si.join(mains.select("base"), "base", "left_anti").select(F.col("si").alias("pdf"), F.lit(None).cast("string").alias("supplement"), F.lit("orphan-supplement").alias("role"))
-    return mains.join(first, "base", "left").select(F.col("stem").alias("pdf"), "supplement", F.lit("main").alias("role")).unionByName(orphans)
+    further = si.join(first, "base").where("si <> supplement").join(mains.groupBy("base").agg(F.min("stem").alias("stem")), "base").select(F.col("stem").alias("pdf"), F.col("si").alias("supplement"), F.lit("further-supplement").alias("role"))
+    return mains.join(first, "base", "left").select(F.col("stem").alias("pdf"), "supplement", F.lit("main").alias("role")).unionByName(further).unionByName(orphans)
 
 
 def statuses(runs: DataFrame, threshold: float = 0.7, deadline: float = 3600.0) -> DataFrame:
@@ -42,7 +43,12 @@ def status_counts(manifest: DataFrame) -> DataFrame:
 
 
 def failure_groups(manifest: DataFrame) -> DataFrame:
-    return manifest.where("status = 'error'").groupBy("error_kind").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("pdf")), ",").alias("pdfs"))
+    """How many files failed for each reason; ``failed_files`` has the files."""
+    return manifest.where("status = 'error'").groupBy("error_kind").agg(F.count("*").alias("n"))
+
+
+def failed_files(manifest: DataFrame) -> DataFrame:
+    return manifest.where("status = 'error'").select("error_kind", "pdf")
 
 
 def work_list(manifest: DataFrame) -> DataFrame:
@@ -54,3 +60,9 @@ def work_list(manifest: DataFrame) -> DataFrame:
 def pending(files: DataFrame, done: DataFrame) -> DataFrame:
     """Files without an output yet: resume by anti join."""
     return files.join(done.select("pdf").distinct(), "pdf", "left_anti")
+
+
+def packages(rows: DataFrame) -> DataFrame:
+    """``run, name, version`` -> ``run`` and a map of the versions that are known, names in order."""
+    known = rows.where(F.col("version").isNotNull()).groupBy("run", "name").agg(F.max("version").alias("version"))
+    return known.groupBy("run").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "version")))).alias("packages"))

@@ -114,3 +114,9 @@ def table_benchmark(truth: DataFrame, run: DataFrame) -> DataFrame:
     scored = pairs.select(F.col("t.paper").alias("paper"), F.col("t.table_id").alias("table_id"), F.col("r.number").alias("number"), F.round(column_jaccard(F.col("t.columns"), F.col("r.columns")), 4).alias("jaccard"), (F.col("r.n_rows") >= F.col("t.min_rows")).alias("rows_ok")).where(F.col("jaccard") >= LEAST_JACCARD)
     got = scored.groupBy("paper").applyInPandas(_assign, scored.schema)
     return truth.select("paper", "table_id").join(got, ["paper", "table_id"], "left")
+
+
+def without_decorations(images: DataFrame, least_area: float) -> DataFrame:
+    """Image blocks of at least an area in square points; rules, logos and icons are smaller. The threshold is the caller's."""
+    b = F.col("bbox")
+    return images.where((b["x1"] - b["x0"]) * (b["y1"] - b["y0"]) >= least_area)

@@ -54,9 +54,16 @@ def resolved(articles: DataFrame, openalex: DataFrame, unpaywall: DataFrame, eur
     OpenAlex ``license, oa_status, oa_url, year``; Unpaywall ``license, is_oa, pdf_url``; Europe PMC
     ``license, pmcid, has_pdf, is_open, year``; OSTI ``osti_id, fulltext_url``; arXiv ``license``. A
     ``cache`` of ``doi, license, oa_status, oa_pdf_url, year, resolved_via`` goes before all of them.
-    Each later source is asked only for what is still missing.
+    Each later source is asked only for what is still missing. Repeated responses of a source count
+    once: the least of them.
     """
-    named = lambda df, p, key="doi": df.select(F.col(key).alias(f"{p}_key"), *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c != key))
+
+    def named(df: DataFrame, p: str, key: str = "doi") -> DataFrame:
+        """One row a key: of several responses the least."""
+        rest = [c for c in df.columns if c != key]
+        one = df.groupBy(key).agg(F.min(F.struct(*rest)).alias("one"))
+        return one.select(F.col(key).alias(f"{p}_key"), *(F.col(f"one.{c}").alias(f"{p}_{c}") for c in rest))
+
     d = articles
     if cache is not None:
         d = d.join(named(cache, "ca"), F.col("doi") == F.col("ca_key"), "left")

@@ -172,3 +172,10 @@ def page_local(matches: DataFrame, own_captions: DataFrame) -> DataFrame:
     away = F.abs(F.col("image_page") - F.col("caption_page"))
     verdict = F.when(F.col("caption_page").isNull(), "unknown").when(away == 0, "same-page").when(away > 1, "too-far").when(F.coalesce("has_other", F.lit(False)), "other-caption").otherwise("neighbour")
     return matches.join(other, ["doc_id", "filename"], "left").select("doc_id", "filename", "figure", verdict.alias("verdict"))
+
+
+def adoption_counts(blocks: DataFrame) -> DataFrame:
+    """``doc_id, parents, captions, footnotes``: image, chart and table blocks of each document, and the texts they adopt."""
+    parents = blocks.where(F.col("type").isin(*PARENTS)).groupBy("doc_id").agg(F.count("*").alias("parents"))
+    taken = adopted(blocks).groupBy("doc_id").agg(F.count_if(F.col("what") == "caption").alias("captions"), F.count_if(F.col("what") == "footnote").alias("footnotes"))
+    return parents.join(taken, "doc_id", "left").na.fill(0, ["captions", "footnotes"])

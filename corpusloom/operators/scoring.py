@@ -76,3 +76,8 @@ def composed_routing(route: Column, scan: Column) -> Column:
     """``struct<engine, force_ocr>``: OCR if either probe says so, forced for scans."""
     ocr = (route == "ocr") | scan.isNotNull()
     return F.struct(F.when(ocr, "ocr").otherwise("layout").alias("engine"), (ocr & scan.isNotNull()).alias("force_ocr"))
+
+
+def routing_summary(routed: DataFrame) -> DataFrame:
+    """``route, reason, n`` over files with a ``routing`` struct."""
+    return routed.groupBy("routing.route", "routing.reason").agg(F.count("*").alias("n"))

@@ -16,7 +16,7 @@ select doc_id,
   || '# Paper ' || cast(doc_id as string) || {NL} || {NL}
   || 'See Fig. ' || cast(doc_id % 4 + 1 as string) || ' and Figure S' || cast(doc_id % 3 + 1 as string) || '. Compare '
   || {case("doc_id", "'Table IV'", "'Table 4'", "'Supplementary Table S2'", "'table columns'", "'no tables'", "'Extended Data Fig. 3'", "'Table A.1 and Table V and Table 5'")}
-  || '.' || {NL} || {NL} || substr(text, 1, 200) || {NL} || {NL}
+  || '.' || {NL} || {NL} || coalesce(text, '') || {NL} || {NL}
   || case when doc_id % 2 = 0 then '![one](assets/figure_1.jpg)' || {NL} else '' end
   || case when doc_id % 5 < 3 then '![two](assets/deep/Figure_2.png)' || {NL} else '' end
   || case when doc_id % 7 = 1 then '![t](assets/table_p1_1.jpg)' || {NL} else '' end
@@ -27,7 +27,7 @@ from {{docs}}"""
 #: First pages with DOIs and arXiv ids.
 FRONT_PAGES = f"""
 select doc_id, 'Vol. 1 ' || {case("doc_id", "'doi:10.1103/PhysRevLett.12.' || cast(doc_id as string) || '.'", "'see 10.1029/2019JE1234 and https://doi.org/10.1016/j.icarus.2020.' || cast(doc_id as string) || ')'", "'10.5555/placeholder'", "'10.1038/s41561-020-' || cast(doc_id as string) || ','", "'no identifier'", "'arXiv:1901.0' || cast(1000 + doc_id % 9000 as string) || 'v2'", "'10.1126/sciadv.abc' || cast(doc_id as string)", "'10.9999/unknown.' || cast(doc_id as string)", "'10.1038/nature1' || cast(doc_id as string)", "'10.1103/PhysRevX.1.' || cast(doc_id as string)")}
-  || ' ' || substr(text, 1, 60) as page from {{docs}}"""
+  || ' ' || coalesce(text, '') as page from {{docs}}"""
 
 #: Licences as services and pages write them.
 LICENCES = f"""
@@ -76,11 +76,11 @@ def entries(style: str, n: int) -> str:
 #: Texts with reference lists of every style, with and without a heading.
 REFERENCES = f"""
 select doc_id, {case("doc_id", "'numbered'", "'bracketed'", "'footnote'", "'author-year'", "'headed'", "'none'")} as made_as,
-  '# Paper' || {NL} || {NL} || replace(replace(substr(text, 1, 300 + cast(doc_id % 400 as int)), {NL}, ' '), '[', '(') || {NL} || {NL} || repeat('All is well in this part. ', 40) || {NL} || {NL} || {case("doc_id", entries("numbered", 8), entries("bracketed", 7), entries("footnote", 6), entries("ay", 12), "'## References' || chr(10) || " + entries("numbered", 6), "'The end.'")} || {NL} as md from {{docs}}"""
+  '# Paper' || {NL} || {NL} || replace(replace(coalesce(text, ''), {NL}, ' '), '[', '(') || {NL} || {NL} || repeat('All is well in this part. ', 40) || {NL} || {NL} || {case("doc_id", entries("numbered", 8), entries("bracketed", 7), entries("footnote", 6), entries("ay", 12), "'## References' || chr(10) || " + entries("numbered", 6), "'The end.'")} || {NL} as md from {{docs}}"""
 
 #: Texts with everything that the strippers drop.
 DIRTY = f"""
 select doc_id, '# Title' || {NL} || cast(doc_id % 3000 as string) || {NL} || 'SMITH ET AL. ' || cast(doc_id % 9 + 1 as string) || ' of 9' || {NL} || 'The work of Smith et al. is good' || {NL}
   || {case("doc_id", "'**LETTERS**'", "'NATURE GEOSCIENCE DOI: 10.1038/NGEO2574'", "'- NATURE GEOSCIENCE DOI: 10.1038/X in a list'", "'| LETTERS | 1 |'")} || {NL}
   || {case("doc_id", "'onlinelibrary.wiley.com/doi/10.1 by A'", "'Retrieved from http://onlinelibrary.wiley.com/x'", "'See the Terms and Conditions'")} || {NL}
-  || 'Sum ' || chr(92) || 'label' || chr(123) || 'eq:1' || chr(125) || ' and ' || chr(92) || 'eqref' || chr(123) || 'eq:1' || chr(125) || {NL} || substr(replace(text, {NL}, ' '), 1, 80) as md from {{docs}}"""
+  || 'Sum ' || chr(92) || 'label' || chr(123) || 'eq:1' || chr(125) || ' and ' || chr(92) || 'eqref' || chr(123) || 'eq:1' || chr(125) || {NL} || replace(coalesce(text, ''), {NL}, ' ') as md from {{docs}}"""

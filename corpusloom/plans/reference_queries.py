@@ -338,7 +338,7 @@ def document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with s as (select doc_id, 0 as page_idx, substr(text, k * 20 + 1, 20) as t, 8 + (doc_id + k) % 5 * 0.5 as size, case when (doc_id + k) % 7 = 0 then 1 when (doc_id + k) % 5 = 0 then 16 else 4 end as flags from documents, (values (0), (1), (2), (3)) v(k) where doc_id % 11 > 0),
+    """with s as (select doc_id, 0 as page_idx, substr(coalesce(text, ''), cast(k * (length(coalesce(text, '')) // 4 + 1) + 1 as integer), cast(length(coalesce(text, '')) // 4 + 1 as integer)) as t, 8 + (doc_id + k) % 5 * 0.5 as size, case when (doc_id + k) % 7 = 0 then 1 when (doc_id + k) % 5 = 0 then 16 else 4 end as flags from documents, (values (0), (1), (2), (3)) v(k)),
     a as (select doc_id, sum(length(t)) as chars, count(*) as n, count(distinct size) as sizes, count(*) filter (where flags & 1 <> 0) as supers, count(*) filter (where flags & 19 <> 0) as styled from s group by doc_id)
     select doc_id, coalesce(chars, 0)::double as chars_per_page, coalesce(sizes, 0) as distinct_font_sizes, coalesce(supers, 0) as super_flag_count, coalesce(styled / n, 0)::double as style_flag_pct,
       case when coalesce(chars, 0) < 60 then 'sparse-text-layer' when coalesce(supers, 0) = 0 then 'no-super-flags-preserved' when sizes < 4 then 'no-heading-discrimination' else 'clean-modern-text-layer' end as reason from documents left join a using (doc_id)"""
@@ -347,7 +347,8 @@ def text_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text-layer figures of made-up spans, and the route they lead to."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     k = F.col("doc_id") + F.col("k")
-    s = d.where("doc_id % 11 > 0").select("doc_id", "text", F.explode(F.array(*(F.lit(i) for i in range(4)))).alias("k")).select("doc_id", F.lit(0).alias("page_idx"), F.substring("text", F.col("k") * 20 + 1, F.lit(20)).alias("text"), (8 + k % 5 * 0.5).alias("size"), F.when(k % 7 == 0, 1).when(k % 5 == 0, 16).otherwise(4).alias("flags"))
+    part = F.floor(F.length(F.coalesce("text", F.lit(""))) / 4).cast("int") + 1
+    s = d.select("doc_id", "text", F.explode(F.array(*(F.lit(i) for i in range(4)))).alias("k")).select("doc_id", F.lit(0).alias("page_idx"), F.substring(F.coalesce("text", F.lit("")), F.col("k") * part + 1, part).alias("text"), (8 + k % 5 * 0.5).alias("size"), F.when(k % 7 == 0, 1).when(k % 5 == 0, 16).otherwise(4).alias("flags"))
     r = scoring.text_layer(s, d.select("doc_id", F.lit(3).alias("n_pages"), F.lit(1).alias("probed")))
     route = scoring.routing(F.lit(None).cast("string"), F.col("pages"), F.col("chars_per_page"), F.col("super_flag_count"), F.col("distinct_font_sizes"), chars_min=60)
     return r.select("doc_id", "chars_per_page", "distinct_font_sizes", "super_flag_count", "style_flag_pct", route["reason"].alias("reason"))
@@ -387,7 +388,12 @@ def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select error_kind, count(*) as n from {_MANIFEST} where status = 'error' group by error_kind")
 def failure_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.failure_groups(batch.statuses(_runs(spark, sf_dir))).select("error_kind", "n")
+    return batch.failure_groups(batch.statuses(_runs(spark, sf_dir)))
+
+
+@query(f"select error_kind, pdf from {_MANIFEST} where status = 'error'")
+def failed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batch.failed_files(batch.statuses(_runs(spark, sf_dir)))
 
 
 @query(f"select pdf, case when status in ('error', 'timeout', 'low_quality') then status || case when si = 'error' then '+supplement' else '' end else 'supplement' end as why from {_MANIFEST} where status in ('error', 'timeout', 'low_quality') or si = 'error'")
@@ -530,12 +536,13 @@ def upserted_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.upserted(old, d.where("doc_id % 2 = 0").select("doc_id", "kind", (F.col("doc_id") % 3).cast("string").alias("id"), F.lit("new").alias("note")))
 
 
-@query("select conv_id, cast(min(turn) as bigint) as first_turn, cast(max(turn) as bigint) as last_turn, count(*) as n from (select *, turn - row_number() over (partition by conv_id order by turn) as g from (select * from conversations where (conv_id + turn) % 4 > 0)) group by conv_id, g")
+@query("select conv_id, cast(min(turn) as bigint) as first_turn, cast(max(turn) as bigint) as last_turn, count(*) as n from (select *, turn - row_number() over (partition by conv_id order by turn) as g from (select conv_id, turn from conversations union all select conv_id, turn + 100000 from conversations)) group by conv_id, g")
 def turn_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of consecutive turns in real conversations after some were left out."""
+    """Runs of consecutive turns in real conversations, each of which goes on after a gap."""
     from pyspark.sql import Window
 
-    kept = table(spark, sf_dir, "conversations").where("(conv_id + turn) % 4 > 0")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    kept = turns.unionByName(turns.withColumn("turn", F.col("turn") + 100_000))
     g = F.col("turn") - F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     return kept.withColumn("g", g).groupBy("conv_id", "g").agg(F.min("turn").cast("bigint").alias("first_turn"), F.max("turn").cast("bigint").alias("last_turn"), F.count("*").alias("n")).drop("g")
 

@@ -12,10 +12,14 @@ from ..streaming import ingest
 from .registry import query, table
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    """A folder of its own below the shared one; a temporary one only where none is set."""
+def _folder(spark: SparkSession) -> str:
+    """A folder of its own below the shared one, ``spark.checkpoint.dir``; where that is unset, a temporary one serves a local session, and a cluster is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="loom-stream-")
+    if shared:
+        return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="loom-stream-")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +31,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status counts by hour, as a stream that ends."""
     out = ingest.status_windows(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 hour", late="3650 days")
-    return ingest.drained(out, f"w{uuid.uuid4().hex}", _checkpoint(spark), mode="complete").select("start", "status", "n")
+    return ingest.drained(out, _folder(spark), mode="complete").select("start", "status", "n")
 
 
 @query("select event_type as status, count(*) as n from events group by event_type")
@@ -35,4 +39,4 @@ def event_first_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Re-delivered events count once."""
     e = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     twice = ingest.first_deliveries(e.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))), "event_id", "ts", "3650 days")
-    return ingest.drained(twice.select("event_type"), f"d{uuid.uuid4().hex}", _checkpoint(spark)).groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
+    return ingest.drained(twice.select("event_type"), _folder(spark)).groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))

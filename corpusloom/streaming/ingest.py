@@ -61,11 +61,19 @@ def awaited_supplements(stream: DataFrame, ts: str = "ts", late: str = "10 minut
     return by.applyInPandasWithState(_await, "base string, pdf string, supplement string", "main string, supplement string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drained(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into a memory table, for checks."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now into a Parquet table below ``folder``, and read it."""
+    spark, schema = stream.sparkSession, stream.schema
+    if mode == "append":
+        out = stream.writeStream.format("parquet").option("path", f"{folder}/rows")
+    else:  # each batch is the whole result
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{folder}/rows")
+
+        out = stream.writeStream.foreachBatch(write)
+    out.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
 
 
 def upsert_each_batch(stream: DataFrame, path: str, checkpoint: str):

@@ -107,8 +107,8 @@ def test_renumber_without_anchor_stays_open(spark):
 
 
 def test_pairs_and_orphans(spark):
-    files = spark.createDataFrame([("foo",), ("foo_SI",), ("bar-maintext",), ("bar-supplemental",), ("lone_S1",)], "stem string")
-    assert {tuple(r) for r in batch.paired(files).collect()} == {("foo", "foo_SI", "main"), ("bar-maintext", "bar-supplemental", "main"), ("lone_S1", None, "orphan-supplement")}
+    files = spark.createDataFrame([("foo",), ("foo_SI",), ("foo_supp",), ("bar-maintext",), ("bar-supplemental",), ("lone_S1",)], "stem string")
+    assert {tuple(r) for r in batch.paired(files).collect()} == {("foo", "foo_SI", "main"), ("foo", "foo_supp", "further-supplement"), ("bar-maintext", "bar-supplemental", "main"), ("lone_S1", None, "orphan-supplement")}
 
 
 def test_grades(spark):

@@ -11,7 +11,7 @@ def test_late_supplements(spark, tmp_path):
     rows = pd.DataFrame({"base": ["a", "a", "b"], "pdf": ["a", "a_SI", "b"], "is_supplement": [False, True, False], "ts": [t, t, t]})
     spark.createDataFrame(rows).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
-    got = ingest.drained(ingest.awaited_supplements(stream), "pairs", str(tmp_path / "cp")).collect()
+    got = ingest.drained(ingest.awaited_supplements(stream), str(tmp_path / "cp")).collect()
     assert ("a", "a", "a_SI") in {tuple(r) for r in got}
 
 
@@ -19,7 +19,7 @@ def test_cleaned_stream_is_the_cleaned_table(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a\n12\nsee 10.1103/PhysRevB.1"), (2, None)], "doc_id long, md string")
     docs.write.parquet(str(tmp_path / "in"))
     stream = ingest.documents(spark, str(tmp_path / "in"), docs.schema)
-    got = ingest.drained(ingest.cleaned_documents(stream), "cleaned", str(tmp_path / "cp")).orderBy("doc_id").collect()
+    got = ingest.drained(ingest.cleaned_documents(stream), str(tmp_path / "cp")).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(1, "a\nsee 10.1103/PhysRevB.1", "10.1103/physrevb.1", "aps-prb"), (2, None, None, None)]
 
 
