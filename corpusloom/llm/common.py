@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             at = held.get()
-        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        elif spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local["):
             at = tempfile.mkdtemp(prefix="loom-")
             spark.sparkContext.setCheckpointDir(at)
         else:
