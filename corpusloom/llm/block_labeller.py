@@ -2,18 +2,22 @@
 
 A page becomes its sequence of leaf blocks. Each block is read as the mean of learned vectors of
 its hashed path features (tags, class and id names on the way from the root), the mean of learned
-vectors of its hashed words, and its length, link share and place. A bidirectional LSTM in numpy
+vectors of its hashed words, and its length, link share, place, and the elements that close and open
+between it and its neighbours. A bidirectional LSTM in numpy
 runs over the whole sequence, so every block is labelled with the context of the whole page; the
 blocks labelled as article are joined in page order.
 
-The network is trained on made-up pages (``page_samples``), once for each driver process, from a
-fixed seed. Null pages count as empty and give an empty text; a page without article blocks, too.
+The network is trained on made-up pages (``page_samples``) from a fixed seed; many of them have no
+names, or names that say nothing, or no tags that say anything, so that it reads them by what
+stands around a block. ``python -m corpusloom.llm.block_labeller`` trains it and writes the weights
+that lie beside this module. Null pages count as empty and give an empty text; a page without article blocks, too.
 Repeated rows each get their text.
 """
 
 from __future__ import annotations
 
 import functools
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +25,17 @@ from pyspark.sql import DataFrame
 
 from .common import tidy
 from .html_blocks import PATHS, WORDS, Block, blocks, path_features, word_features
-from .page_samples import Maker
+from .page_samples import KNOWN, Maker
 
-VECTOR, HIDDEN, NUMBERS = 24, 24, 5
-PAGES, EPOCHS, BATCH = 2400, 6, 32
+VECTOR, HIDDEN, NUMBERS = 24, 24, 9
+PAGES, EPOCHS, BATCH = 5000, 6, 32
+WEIGHTS = Path(__file__).with_name("block_labeller.npz")
+
+
+def between(a: tuple, b: tuple) -> tuple[float, float]:
+    """How many elements close and open from one block to the next, in quarters, up to one: the same element, not one of the same kind, is what two blocks share."""
+    shared = len({id(x) for x in a} & {id(x) for x in b})
+    return min(1.0, (len(a) - shared) / 4), min(1.0, (len(b) - shared) / 4)
 
 
 class Features:
@@ -34,14 +45,15 @@ class Features:
         self.sizes = np.array([len(p) for p in pages], dtype=np.int64)
         paths, words, numbers, memo = [], [], [], {}
         for page in pages:
+            steps = [between(a.path, b.path) for a, b in zip(page, page[1:], strict=False)]
             for i, b in enumerate(page):
                 own = memo.get(b.path)
                 if own is None:
-                    own = memo[b.path] = path_features(b.path)
+                    own = memo[b.path] = path_features(b.path, KNOWN)
                 paths.append(own)
                 w = word_features(b.text)
                 words.append(w)
-                numbers.append((np.log1p(len(w)) / 4, b.linked, i / max(1, len(page) - 1), b.text[-1:] in ".!?", len(b.path) / 10))
+                numbers.append((np.log1p(len(w)) / 4, b.linked, i / max(1, len(page) - 1), b.text[-1:] in ".!?", len(b.path) / 10, *(steps[i - 1] if i else (1, 1)), *(steps[i] if i < len(steps) else (1, 1))))
         self.numbers = np.array(numbers, dtype=np.float32).reshape(-1, NUMBERS)
         self.paths, self.words = _flat(paths), _flat(words)
 
@@ -188,6 +200,15 @@ def samples(seeds: range) -> tuple[list[list[Block]], list[list[int]]]:
 
 
 @functools.cache
+def shipped() -> Labeller:
+    """The network whose weights come with the package."""
+    net = Labeller()
+    with np.load(WEIGHTS) as kept:
+        for k, w in enumerate(net.weights):
+            w[...] = kept[f"w{k}"]
+    return net
+
+
 def trained(n: int = PAGES, epochs: int = EPOCHS, seed: int = 11, rate: float = 0.01) -> Labeller:
     """The network, trained with Adam on ``n`` made-up pages."""
     pages, labels = samples(range(n))
@@ -221,7 +242,7 @@ def main_texts(net: Labeller, pages: list[str | None]) -> list[str]:
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The ``keep`` columns and ``text`` for each row."""
-    net = trained()
+    net = shipped()
     src = df.select(*keep, html_col)
 
     def run(batches):
@@ -238,3 +259,7 @@ def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("pag
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[: len(keep)])
     return src.mapInArrow(tidy(run), f"{kinds}, text string")
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **{f"w{k}": w.astype(np.float16) for k, w in enumerate(trained().weights)})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 
 #: Elements that begin and end a block of text, those whose content is no text of
 #: the page, those without content, and what an opening tag closes.
@@ -17,7 +18,12 @@ STOPS = frozenset("ul ol dl table select div section article aside nav main body
 ENDS_P = BLOCKS - frozenset("label button caption legend summary option optgroup td th tr tbody thead tfoot col colgroup body html head".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.DOTALL)
+CLOSING = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
 NAME = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: Elements of a path that a block keeps: the innermost ones.
+DEEPEST = 40
+#: Raw elements whose content a browser shows if they aren't closed.
+OPEN = frozenset(("svg", "object", "template"))
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -38,9 +44,21 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: text with references decoded and white space as one space, path of (tag, names), share of characters in links.
 
-    Broken markup is closed as browsers close it where that decides a block; an unclosed raw
-    element takes the rest of the page.
+    Broken markup is closed as browsers close it where that decides a block; an unclosed script or
+    style takes the rest of the page, an unclosed or self-closed drawing or object takes nothing.
+    A path has at most ``DEEPEST`` elements, so memory is linear in the page.
     """
+    there: Counter[str] = Counter()  # tags on the stack
+    unclosed: set[str] = set()
+
+    def cut(k: int) -> int:
+        """Take the stack's elements from ``k`` on away; how many links they were."""
+        for tag, _ in stack[k:]:
+            there[tag] -= 1
+        gone = sum(tag == "a" for tag, _ in stack[k:])
+        del stack[k:]
+        return gone
+
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
@@ -53,7 +71,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 inside = " ".join(html.unescape(" ".join(linked)).split()) if linked else ""
-                out.append(Block(text, tuple(stack), min(1.0, len(inside) / len(text))))
+                out.append(Block(text, tuple(stack[-DEEPEST:]), min(1.0, len(inside) / len(text))))
             pieces, linked = [], []
 
     at, size = 0, len(page)
@@ -74,25 +92,28 @@ def blocks(page: str) -> list[Block]:
         if closing:
             if tag in BLOCKS:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
+            if there[tag]:
+                links -= cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
         attributes = found[3] or found[6] or ""
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             pieces.append(" ")
-            at = end.end() if end else size
+            if tag == "svg" and attributes.rstrip().endswith("/") or tag in unclosed:
+                continue
+            end = CLOSING[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in OPEN:
+                unclosed.add(tag)
+            else:
+                at = size
             continue
         if tag in BLOCKS:
             flush()
             shut = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(there[t] for t in shut) else ():
                 if stack[k][0] in shut:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
+                    links -= cut(k)
                     break
                 if stack[k][0] in STOPS:
                     break
@@ -102,6 +123,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if not attributes.endswith("/") or tag in BLOCKS:
             stack.append((tag, names(attributes)))
+            there[tag] += 1
             links += tag == "a"
     flush()
     return out
@@ -110,13 +132,14 @@ def blocks(page: str) -> list[Block]:
 PATHS, WORDS = 2048, 1024
 
 
-def path_features(path: tuple) -> list[int]:
-    """Hashed tags, names, tags with names, and tags with their parents."""
+def path_features(path: tuple, known: frozenset[str]) -> list[int]:
+    """Hashed tags, names, tags with names, and tags with their parents. Names that aren't known are all one name."""
     out, above = [], "-"
     for tag, own in path:
         out.append(f"t {tag}")
         out.append(f"p {above} {tag}")
         for n in own:
+            n = n if n in known else "?"
             out.append(f"n {n}")
             out.append(f"b {tag} {n}")
         above = tag

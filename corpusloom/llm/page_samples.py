@@ -21,6 +21,9 @@ ROLES = {
     "comments": (["section", "div", "ol", "ul"], ["comments", "comment-list", "commentlist", "responses", "discussion", "disqus", "reader-comments", "replies", "comment-thread"]),
 }
 MAIN = (["article", "main", "div", "section", "td"], ["content", "article", "post", "entry", "article-body", "story", "main", "entry-content", "post-content", "text", "body", "page-content", ""])
+BOXES, COMMENT = ("inner", "wrap", "container", "row", "box", "col"), ("comment", "reply", "comment-body", "response")
+#: Parts of the names that sites use; others tell nothing.
+KNOWN = frozenset(part for names in (*(own for _, own in ROLES.values()), MAIN[1], BOXES, COMMENT, ("author",)) for name in names for part in name.split("-") if part)
 INNER = ["div", "section", "div", "span"]
 SOUNDS = "th er an re he in on at nd st es en of te ed or ti hi as to ou ch ei un ie ver be sch ge ich que le ai oi ment tion eau ado ción os as ar ue la mi na ka ro shi tu po vel ü é ñ ä".split()
 SAYINGS = {
@@ -43,8 +46,9 @@ class Maker:
         self.r = random.Random(seed)
         self.words = ["".join(self.r.choice(SOUNDS) for _ in range(self.r.choice((1, 1, 2, 2, 3, 4)))) for _ in range(120)]
         self.labels: list[int] = []
-        self.named = self.r.random() < 0.85
-        self.semantic = self.r.random() < 0.7
+        # names as sites use them, names that say nothing, or none; tags that say something, or none that do
+        self.naming = self.r.choice(("site", "site", "made", "made", "none"))
+        self.tags = self.r.choice(("semantic", "semantic", "some", "neutral"))
         r = self.r
         before = [k for k in ("menu", "header", "notice", "advert", "form", "menu", "share") if r.random() < 0.45]
         after = [k for k in ("advert", "share", "comments", "sidebar", "form", "sidebar", "notice", "menu") if r.random() < 0.35]
@@ -71,16 +75,27 @@ class Maker:
             text = f"<b>{text}</b>"
         return f"<{tag}{name}>{text}</{tag}>"
 
-    def opened(self, tags: list[str], own: list[str]) -> tuple[str, str]:
-        tag = self.r.choice(tags if self.semantic or len(tags) < 2 else [t for t in tags if t in ("div", "p", "ul", "section", "td", "form", "ol")] or tags)
+    def attribute(self, *own: str, odd: float = 0.2) -> str:
+        """A class or id with one of some names, in the page's way of naming; ``odd`` tells how often it says nothing all the same."""
         name = self.r.choice(own)
-        named = name and (self.named or tag in ("div", "section", "p", "ul", "ol", "span", "ins")) and self.r.random() < (0.6 if tag in ("nav", "header", "footer", "article", "main", "aside", "form") else 1)
-        return tag, f' {self.r.choice(("class", "class", "class", "id"))}="{name}"' if named else ""
+        if not name or self.naming == "none":
+            return ""
+        if self.naming == "made" or self.r.random() < odd:
+            name = "-".join(self.r.choice(self.words) for _ in range(self.r.choice((1, 1, 2))))
+        return f' {self.r.choice(("class", "class", "class", "id"))}="{name}"'
+
+    def opened(self, tags: list[str], own: list[str], odd: float = 0.2) -> tuple[str, str]:
+        if (self.tags != "semantic" or self.r.random() < odd) and len(tags) > 1:
+            plain = ("div",) if self.tags != "some" else ("div", "p", "ul", "section", "td", "form", "ol")
+            tags = [t for t in tags if t in plain] or ["div"]
+        tag = self.r.choice(tags)
+        usual = 0.6 if tag in ("nav", "header", "footer", "article", "main", "aside", "form") else 0.95
+        return tag, self.attribute(*own, odd=odd) if self.r.random() < usual else ""
 
     def wrapped(self, tag: str, name: str, inside: str) -> str:
         if self.r.random() < 0.3 and tag != "p":
             inner = self.r.choice(INNER)
-            inside = f'<{inner} class="{self.r.choice(("inner", "wrap", "container", "row", "box", "col"))}">{inside}</{inner}>'
+            inside = f'<{inner}{self.attribute(*BOXES)}>{inside}</{inner}>'
         return f"<{tag}{name}>{inside}</{tag}>"
 
     def part(self, role: str) -> str:
@@ -107,9 +122,9 @@ class Maker:
             for _ in range(r.randint(1, 6)):
                 inner = self.leaf("p", self.say(3, 50, role), 0)
                 if r.random() < 0.5:
-                    inner = self.leaf("div", self.say(1, 4, role), 0, ' class="author"') + inner
+                    inner = self.leaf("div", self.say(1, 4, role), 0, self.attribute("author")) + inner
                 box = "li" if tag in ("ol", "ul") else "div"
-                out.append(f'<{box} class="{r.choice(("comment", "reply", "comment-body", "response"))}">{inner}</{box}>')
+                out.append(f'<{box}{self.attribute(*COMMENT)}>{inner}</{box}>')
         else:
             for _ in range(r.choice((1, 1, 1, 2, 3))):
                 t = r.choice(("p", "p", "div", "h3", "h4", "bare"))
@@ -126,7 +141,7 @@ class Maker:
 
     def article(self) -> str:
         r = self.r
-        tag, name = self.opened(*MAIN)
+        tag, name = self.opened(*MAIN, odd=0.45)
         out = []
         if r.random() < 0.85:
             out.append(self.leaf(r.choice(("h1", "h1", "h2")), self.say(2, 12), 1))
