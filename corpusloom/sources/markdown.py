@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Every ``.md`` file below a folder as ``(path, md)``."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path).select(F.input_file_name().alias("path"), F.col("value").alias("md"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("md"))
 
 
 def front_matter(md: Column) -> Column:
