@@ -9,6 +9,8 @@ id. All strings are judged on the input.
 2. Each chunk of documents asks which of its anchor hashes other documents have too. Only those
    go on, with the bytes on both sides that strings over this anchor can reach. A chunk sends
    equal surroundings once, for its smallest document; its larger documents are then settled.
+   (Within a chunk equal surroundings are told by a 64-bit hash beside that of the anchor, so that
+   a long text that repeats itself costs little more than its anchors.)
 3. Each bucket of the hash space takes its surroundings in ascending order of document, in
    batches. A batch gets a suffix array over the bytes from the anchor on, which is scanned
    together with the array of each existing level for matches that reach ``LENGTH`` bytes to the
@@ -35,10 +37,12 @@ from .common import mix64, partitions, stored, tidy
 LENGTH, SEED = 50, 20
 REACH = LENGTH - SEED  # bytes before an anchor that a string over it can reach
 #: Entries of a bucket that are worked on at once, whole anchors at a time, and in one batch of these.
-SLICE, BATCH = 1 << 17, 1 << 16
+SLICE, BATCH = 1 << 17, 1 << 14
 #: Bytes of an anchor's hash that are sent to find out whether others have it. Within a bucket, whose
 #: size doesn't grow with the corpus, a wrong yes is one in a million, and only costs a comparison.
 SHORT = 5
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 32 << 20
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
 INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -57,16 +61,20 @@ def _slide(a: np.ndarray, width: int, what) -> np.ndarray:
     return what(out[:n], out[width - have : width - have + n])[:n] if have < width else out[:n]
 
 
-def seed_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of the ``SEED`` bytes from every place on, block by block."""
-    n = len(data) - SEED + 1
-    out = np.empty(n, dtype=np.uint64)
-    for at in range(0, n, BLOCK):
-        part = data[at : at + BLOCK + SEED - 1]
+def rolling(data: np.ndarray, width: int):
+    """Block by block, the place of a block and the hashes of the ``width`` bytes from each of its places on."""
+    for at in range(0, len(data) - width + 1, BLOCK):
+        part = data[at : at + BLOCK + width - 1]
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(BYTES[part] * POWERS[: len(part)], out=sums[1:])
-        m = len(part) - SEED + 1
-        out[at : at + m] = mix64((sums[SEED:] - sums[:-SEED]) * INVERSES[:m])
+        yield at, mix64((sums[width:] - sums[:-width]) * INVERSES[: len(part) - width + 1])
+
+
+def seed_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of the ``SEED`` bytes from every place on."""
+    out = np.empty(len(data) - SEED + 1, dtype=np.uint64)
+    for at, h in rolling(data, SEED):
+        out[at : at + len(h)] = h
     return out
 
 
@@ -114,38 +122,73 @@ BEFORE, AFTER = REACH, LENGTH
 RECORD = BEFORE + AFTER + 2
 
 
-def surroundings(c: chunks.Chunk, a: Anchors) -> np.ndarray:
-    """(n, RECORD) bytes; bytes outside the text are zero."""
-    out = np.zeros((len(a.at), RECORD), dtype=np.uint8)
+def reach(c: chunks.Chunk, a: Anchors) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes of the text there are before each anchor and from it on, as far as strings reach."""
+    left = np.minimum(a.at - c.ends[a.row], BEFORE).astype(np.uint8)
+    return left, np.minimum(c.ends[a.row + 1] - a.at, AFTER).astype(np.uint8)
+
+
+def surroundings(c: chunks.Chunk, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(n, RECORD) bytes around some places; bytes outside the text are zero."""
+    out = np.zeros((len(at), RECORD), dtype=np.uint8)
     padded = np.zeros(len(c.data) + BEFORE + AFTER, dtype=np.uint8)
     padded[BEFORE : BEFORE + len(c.data)] = c.data
     view = np.lib.stride_tricks.as_strided(padded, (len(c.data) + 1, BEFORE + AFTER), (1, 1))
-    out[:, : BEFORE + AFTER] = view[a.at]
-    left = np.minimum(a.at - c.ends[a.row], BEFORE)
-    right = np.minimum(c.ends[a.row + 1] - a.at, AFTER)
+    out[:, : BEFORE + AFTER] = view[at]
     place = np.arange(BEFORE + AFTER)
     edge = np.flatnonzero((left < BEFORE) | (right < AFTER))
-    outside = (place < BEFORE - left[edge][:, None]) | (place >= BEFORE + right[edge][:, None])
+    outside = (place < BEFORE - left[edge].astype(np.int64)[:, None]) | (place >= BEFORE + right[edge].astype(np.int64)[:, None])
     out[edge, : BEFORE + AFTER] *= ~outside
     out[:, -2], out[:, -1] = left, right
     return out
 
 
-def valid(records: np.ndarray) -> np.ndarray:
+def classes(c: chunks.Chunk, a: Anchors, docs: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal surroundings of equal anchors: a class of each anchor, and the anchor of the smallest document of each class, classes in order of hash."""
+    key = a.hash.copy()
+    edge = (left < BEFORE) | (right < AFTER)
+    for at, h in rolling(c.data, BEFORE + AFTER):
+        lo, hi = np.searchsorted(a.at, [at + BEFORE, at + BEFORE + len(h)])
+        key[lo:hi] ^= np.where(edge[lo:hi], _U(0), h[a.at[lo:hi] - BEFORE - at])
+    edge = np.flatnonzero(edge)
+    for some in np.split(edge, range(1 << 16, len(edge), 1 << 16)):
+        key[some] = _folded(key[some], surroundings(c, a.at[some], left[some], right[some]))
+    key = mix64(key)
+    order = np.lexsort((docs, key, a.hash))
+    k = key[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (a.hash[order][1:] != a.hash[order][:-1])
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
+def allowed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Bit d is set if the string that starts d bytes before the anchor lies in the text."""
-    left, right = records[:, -2].astype(np.int64), records[:, -1].astype(np.int64)
-    low = np.maximum(LENGTH - right, 0)
+    low = np.maximum(LENGTH - right.astype(np.int64), 0)
     return np.where(low <= left, (_U(2) << left.astype(np.uint64)) - (_U(1) << low.astype(np.uint64)), _U(0)).astype(np.uint32)
 
 
-def distinct(hashes: np.ndarray, records: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal surroundings of equal anchors: a class of each row, and the row with the smallest document of each class, classes in order of hash."""
+def valid(records: np.ndarray) -> np.ndarray:
+    return allowed(records[:, -2], records[:, -1])
+
+
+def _words(records: np.ndarray) -> np.ndarray:
     words = np.zeros((len(records), -(-RECORD // 8) * 8), dtype=np.uint8)
     words[:, :RECORD] = records
-    words = words.view(np.uint64)
-    key = hashes.copy()
+    return words.view(np.uint64)
+
+
+def _folded(key: np.ndarray, records: np.ndarray) -> np.ndarray:
+    words = _words(records)
     for k in range(words.shape[1]):
         key = mix64(key ^ words[:, k])
+    return key
+
+
+def distinct(hashes: np.ndarray, records: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal surroundings of equal anchors: a class of each row, and the row with the smallest document of each class, classes in order of hash."""
+    words, key = _words(records), _folded(hashes, records)
     order = np.lexsort((docs, key, hashes))
     k, w = key[order], words[order]
     new = np.ones(len(order), dtype=bool)
@@ -337,22 +380,24 @@ def _wanted(c: chunks.Chunk, shared: list | None, buckets: int):
         lo, hi = cut[s["bucket"]], cut[s["bucket"] + 1]
         hit[lo:hi] = np.unpackbits(np.frombuffer(s["blob"], np.uint8), count=hi - lo)
     a.keep(hit[where])
-    records = surroundings(c, a)
     docs = c.order_ids()[a.row]
-    number, first = distinct(a.hash, records, docs)
+    left, right = reach(c, a)
+    number, first = classes(c, a, docs, left, right)
     to = chunks.bucket_of(mix64(a.hash[first]), buckets)
     order = np.argsort(to, kind="stable")
-    return a, records, docs, number, first, order, to[order]
+    return a, left, right, docs, number, first, order, to[order]
 
 
 def _send(buckets: int):
     def run(batches):
         for c, (shared,) in chunks.rows_of(batches, ("shared",)):
-            a, records, docs, _, first, order, to = _wanted(c, shared, buckets)
+            a, left, right, docs, _, first, order, to = _wanted(c, shared, buckets)
             cut = np.searchsorted(to, np.arange(buckets + 1))
+            mine = first[order]
+            records = surroundings(c, a.at[mine], left[mine], right[mine])
             for k in np.flatnonzero(np.diff(cut)).tolist():
-                pick = first[order[cut[k] : cut[k + 1]]]
-                blob = chunks.squeezed(a.hash[pick].tobytes() + docs[pick].tobytes() + records[pick].tobytes())
+                pick = mine[cut[k] : cut[k + 1]]
+                blob = chunks.squeezed(a.hash[pick].tobytes() + docs[pick].tobytes() + records[cut[k] : cut[k + 1]].tobytes())
                 yield pa.record_batch([pa.array([k], pa.int32()), pa.array([c.number], pa.int64()), pa.array([len(pick)], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "chunk", "n", "blob"])
 
     return run
@@ -383,12 +428,12 @@ def removed(c: chunks.Chunk, shared: list | None, judged: list | None, buckets:
     gone = np.zeros(len(c.data), dtype=bool)
     if not judged:
         return gone
-    a, records, docs, number, first, order, to = _wanted(c, shared, buckets)
+    a, left, right, docs, number, first, order, to = _wanted(c, shared, buckets)
     sent = np.zeros(len(first), dtype=np.uint32)
     cut = np.searchsorted(to, np.arange(buckets + 1))
     for j in judged:
         sent[order[cut[j["bucket"]] : cut[j["bucket"] + 1]]] = np.frombuffer(chunks.expanded(j["blob"]), np.uint32)
-    mask = np.where(docs > docs[first][number], valid(records), sent[number])
+    mask = np.where(docs > docs[first][number], allowed(left, right), sent[number])
     steps = np.zeros(len(c.data) + LENGTH + 1, dtype=np.int32)
     for d in range(REACH + 1):
         starts = a.at[(mask >> np.uint32(d) & 1).astype(bool)] - d
@@ -428,8 +473,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: t
     is ``kept`` without what is left of characters of which bytes were removed.
     """
     spark = df.sparkSession
-    buckets = partitions(spark)
     own = chunks.build(df, id_col, text_col, rest)
+    buckets = max(partitions(spark), own.count() * chunks.CHUNK_BYTES // BUCKET_BYTES)
     asked = own.mapInArrow(tidy(_ask(buckets)), "bucket int, chunk bigint, n bigint, blob binary")
     shared = stored(chunks.spread(asked, buckets).mapInArrow(tidy(_shared), "chunk bigint, bucket int, blob binary"), "shared")
     known = own.join(chunks.answers(shared, "shared"), "chunk", "left")

@@ -369,6 +369,45 @@ def test_dedup_small_alphabet_and_levels():
             assert bytes(np.frombuffer(b, np.uint8)[~gone[d]]) == kept
 
 
+def test_dedup_levels():
+    """Equal-sized levels merge geometrically, and matches are found in all of them."""
+    r = np.random.default_rng(2)
+    records = np.zeros((64, suffix_dedup.RECORD), dtype=np.uint8)
+    records[:, : suffix_dedup.BEFORE + suffix_dedup.AFTER] = r.integers(97, 123, (64, suffix_dedup.BEFORE + suffix_dedup.AFTER))
+    records[:, -2], records[:, -1] = suffix_dedup.BEFORE, suffix_dedup.AFTER
+    records[48:] = records[:48:3]
+    index, sizes, found = suffix_dedup.LogIndex(), [], []
+    for at in range(0, 64, 4):
+        found.append(index.add(np.full(4, 7, dtype=np.uint64), records[at : at + 4], np.arange(at, at + 4)))
+        sizes.append([len(x) for x in index.levels])
+    assert sizes[0] == [4] and sizes[1] == [8] and sizes[2] == [8, 4] and sizes[6] == [16, 8, 4] and sizes[15] == [64]
+    every = suffix_dedup.valid(records)
+    assert (np.concatenate(found) == np.where(np.arange(64) < 48, 0, every)).all()
+
+
+def test_dedup_of_long_repetitive_texts(spark):
+    """Runs of one byte and of a short period: every place is an anchor, and memory stays near that of the anchors."""
+    import tracemalloc
+
+    size = 1 << 21
+    texts = [(1, "a" * 400 + "ab" * 300), (2, "a" * size), (3, "x" * 60 + "ab" * 1000), (4, "b" * 49), (5, "b" * 3000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, bytes(r.kept)) for r in suffix_dedup.dedup(df).collect()}
+    assert got == {1: (1000, texts[0][1].encode()), 2: (size, b""), 3: (2060, b"x" * 60), 4: (49, b"b" * 49), 5: (3000, b"b" * 3000)}
+    data = np.full(size, 97, dtype=np.uint8)
+
+    class One:
+        doc_ids, ends, order_ids = [1], np.array([0, size]), staticmethod(lambda: np.array([1]))
+
+    One.data = data
+    tracemalloc.start()
+    a = suffix_dedup.Anchors(One)
+    left, right = suffix_dedup.reach(One, a)
+    _, first = suffix_dedup.classes(One, a, One.order_ids()[a.row], left, right)
+    assert len(first) < 100 and tracemalloc.get_traced_memory()[1] < 150 * size
+    tracemalloc.stop()
+
+
 # --- 6: id files
 
 
@@ -540,7 +579,7 @@ def test_blocks_of_deep_pages():
 
     tracemalloc.start()
     own = html_blocks.blocks("<div><p>" + "<b>some text<span><p>more</i>" * 40_000)
-    assert len(own) == 80_000 and all(len(b.path) <= html_blocks.DEEPEST for b in own)
+    assert len(own) == 40_001 and all(len(b.path) <= html_blocks.DEEPEST for b in own)
     block_labeller.Features([own])
     assert tracemalloc.get_traced_memory()[1] < 500e6
     tracemalloc.stop()
