@@ -52,7 +52,7 @@ LEAST_COUNT = 2
 LEAST_GAIN = 4.0
 DISCOUNT = 0.75
 #: Bytes of text in a chunk, and for each bucket.
-CHUNK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 #: A context is spread over several buckets beyond this count and its fair share of all tokens.
 HOT = 1 << 16
 LOWER = np.arange(256, dtype=np.uint8)
