@@ -8,7 +8,7 @@ and the mean and the maximum over all chunks feed one logistic unit. Nothing but
 text enters a score.
 
 Training uses at most ``SAMPLE`` labelled rows of the training fold, those with the smallest hash
-of their id, with whole texts. Rows with a null label are left out; of several labels of one id
+of their id, with whole texts. A step holds some ten bytes for each byte of its texts. Rows with a null label are left out; of several labels of one id
 the largest counts. Without any labelled row every score is 0.5. Null texts count as empty, which
 is scored like any other text: one chunk of padding. Repeated rows each get their score.
 """
@@ -69,10 +69,10 @@ class ConvNet:
         self.head = r.normal(0, 0.1, 2 * FILTERS).astype(np.float32)
         self.offset = np.zeros(1, dtype=np.float32)
 
-    def windows(self, own: np.ndarray) -> np.ndarray:
+    def windows(self, own: np.ndarray, again: np.ndarray | None = None) -> np.ndarray:
         x = np.empty((*own.shape, CHANNELS), dtype=np.float32)
         x[..., :VECTOR] = self.vectors[own]
-        x[..., VECTOR] = repeats(own)
+        x[..., VECTOR] = repeats(own) if again is None else again
         places = (CHUNK - WIDTH) // STRIDE + 1
         a, b, c = x.strides
         return np.lib.stride_tricks.as_strided(x, (len(own), places, WIDTH * CHANNELS), (a, b * STRIDE, c))
@@ -98,10 +98,11 @@ class ConvNet:
     def step(self, texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
         """Gradients of the mean log loss, in the order of ``weights``."""
         own, counts = chunks(texts)
-        win = self.windows(own)
-        p, best = np.empty((len(own), FILTERS), dtype=np.float32), np.empty((len(own), FILTERS), dtype=np.int64)
+        p, best = np.empty((len(own), FILTERS), dtype=np.float32), np.empty((len(own), FILTERS), dtype=np.int16)
+        again = np.empty(own.shape, dtype=np.float32)
         for at in range(0, len(own), 128):
-            part = np.ascontiguousarray(win[at : at + 128])
+            again[at : at + 128] = repeats(own[at : at + 128])
+            part = np.ascontiguousarray(self.windows(own[at : at + 128], again[at : at + 128]))
             r = (part.reshape(-1, WIDTH * CHANNELS) @ self.filters).reshape(*part.shape[:2], FILTERS)
             best[at : at + 128] = r.argmax(axis=1)
             p[at : at + 128] = r.max(axis=1)
@@ -117,14 +118,15 @@ class ConvNet:
         is_top = p == top[owner]
         dp += np.where(is_top, back[owner, FILTERS:] / np.maximum(1, np.add.reduceat(is_top, at))[owner], 0)
         dp = (dp * (p > 0)).astype(np.float32)
-        row, col = np.nonzero(dp)
-        g = dp[row, col]
-        seen = win[row, best[row, col]]
-        d_filters = np.zeros_like(self.filters)
-        np.add.at(d_filters.T, col, g[:, None] * seen)
-        d_vectors = np.zeros_like(self.vectors)
-        bytes_at = own[row[:, None], best[row, col][:, None] * STRIDE + np.arange(WIDTH)]
-        np.add.at(d_vectors, bytes_at.ravel(), (g[:, None] * self.filters.T[col]).reshape(-1, CHANNELS)[:, :VECTOR])
+        d_filters, d_vectors = np.zeros_like(self.filters), np.zeros_like(self.vectors)
+        for at in range(0, len(own), 128):  # only the bytes under the best places are looked at again
+            row, col = np.nonzero(dp[at : at + 128])
+            row += at
+            g = dp[row, col]
+            places = row[:, None], best[row, col].astype(np.int64)[:, None] * STRIDE + np.arange(WIDTH)
+            seen = np.concatenate([self.vectors[own[places]], again[places][..., None]], axis=2).reshape(-1, WIDTH * CHANNELS)
+            np.add.at(d_filters.T, col, g[:, None] * seen)
+            np.add.at(d_vectors, own[places].ravel(), (g[:, None] * self.filters.T[col]).reshape(-1, CHANNELS)[:, :VECTOR])
         d_vectors[0] = 0
         return [d_vectors, d_filters, dp.sum(axis=0), (d[:, None] * both).sum(axis=0), np.array([d.sum()])]
 

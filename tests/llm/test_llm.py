@@ -770,6 +770,17 @@ def test_quality_gradient():
         assert abs((up - down) / 0.004 - g[k][at]) < 0.1 * abs(g[k][at]) + 1e-3
 
 
+def test_quality_step_on_a_long_text():
+    import tracemalloc
+
+    size = 4 << 20
+    text = bytes(np.random.default_rng(1).integers(97, 122, size, dtype=np.uint8))
+    tracemalloc.start()
+    grads = quality.ConvNet().step([text], np.ones(1, dtype=np.float32))
+    assert all(np.isfinite(g).all() for g in grads) and tracemalloc.get_traced_memory()[1] < 20 * size
+    tracemalloc.stop()
+
+
 def test_quality_rules(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (1, 0), (5, 0), (2, None), (None, 1), (7, 1)], "doc_id long, quality int")
     net = quality.fit(odd, labels)
