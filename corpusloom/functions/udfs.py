@@ -13,14 +13,21 @@ from ..operators.tables import table_rows
 
 
 def model_column(model: Callable[[list[str]], list[str | None]]) -> Callable[[Column], Column]:
-    """A batch function of texts as a column function; an exception makes nulls, so one text can't fail a task."""
+    """A batch function of texts as a column function; after an exception each text of the batch is tried alone, and those that raise again become null."""
+
+    def alone(text: str) -> str | None:
+        try:
+            return model([text])[0]
+        except Exception:  # a model is somebody else's code
+            return None
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
+        own = texts.fillna("").tolist()
         try:
-            return pd.Series(model(texts.fillna("").tolist()), dtype="object")
-        except Exception:  # a model is somebody else's code
-            return pd.Series([None] * len(texts), dtype="object")
+            return pd.Series(model(own), dtype="object")
+        except Exception:
+            return pd.Series([alone(t) for t in own], dtype="object")
 
     return run
 

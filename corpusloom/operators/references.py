@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import REFERENCES_HEADING
 from ..functions.text import all_matches, let
 
+#: How entries of each style begin, their years, and the heading that is written.
 NUMBERED = r"^[ \t]*(\d{1,3})[.)]\s+\S"
 BRACKETED = r"^[ \t]*\[(\d{1,3})\]\s+\S"
 FOOTNOTE = r"^(\d{1,3})([A-Z]\.\s)"

@@ -243,9 +243,8 @@ def reference_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts after the heading rescue, scored before and after."""
     docs = made(spark, sf_dir, inputs.REFERENCES).select("doc_id", "made_as", "md")
-    before = references.scored(docs).select("doc_id", "made_as", F.col("score").alias("score_before"))
-    after = references.scored(references.headed(docs)).select("doc_id", "score", "style", "entry_count", "section_count", "numbered_continuous", "year_hit_ratio", "longest_over_median")
-    return before.join(after, "doc_id")
+    before = references.scored(docs).select("doc_id", "made_as", "md", F.col("score").alias("score_before"))
+    return references.scored(references.headed(before)).select("doc_id", "made_as", "score_before", "score", "style", "entry_count", "section_count", "numbered_continuous", "year_hit_ratio", "longest_over_median")
 
 
 @query(

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import udfs
 from corpusloom.operators import batch, emit, matching, references, rescue, rewrites, scoring, tables
 from corpusloom.plans import inputs
 from corpusloom.plans.cases import CASES
@@ -126,3 +127,13 @@ def test_function_cases_on_nulls(spark):
     empty = spark.createDataFrame([(None,), ("",)], "t string")
     for name, f, _, _ in CASES:
         assert empty.select(f(F.col("t"))).count() == 2, name
+
+
+def test_model_that_fails_on_one_text(spark):
+    def model(texts):
+        if "bad" in texts:
+            raise ValueError("bad")
+        return [t.upper() for t in texts]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "d")], "n int, text string").coalesce(1)
+    assert {r.n: r.out for r in rows.select("n", udfs.model_column(model)("text").alias("out")).collect()} == {1: "A", 2: None, 3: "", 4: "D"}
