@@ -132,3 +132,54 @@ def test_rows_that_share_an_id_lose_no_text(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
     assert got == sorted([(0, text), (1, text), (2, text), (2, "another text altogether, of its own")])
+
+
+def test_near_texts_hands_on_forests():
+    """A bucket of many near texts hands on fewer links than it has members, and the components of all its pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusloom.llm import near_texts
+
+    pick = np.random.default_rng(7)
+    base = pick.integers(0, 1 << 60, 80)
+    sets = [np.unique(np.where(pick.random(80) < pick.choice([0.03, 0.08, 0.3]), pick.integers(0, 1 << 60, 80), base)).astype(np.uint64) for _ in range(120)]
+    pairs = [(i, j) for i, j in itertools.combinations(range(120), 2) if near_texts.alike(sets[i], sets[j])]
+    rows = pa.record_batch([pa.array([5] * 120), pa.array(range(120)), pa.array(range(120)), pa.array([s.tobytes() for s in sets])], names=["piece", "node", "label", "own"])
+    found = [(a, b) for out in near_texts.links(iter([rows.slice(0, 50), rows.slice(50)])) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    assert set(found) <= set(pairs) and len(found) < 120 < len(pairs)
+
+    def groups(edges):
+        label = list(range(120))
+        for a, b in edges:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+        return label
+
+    assert groups(found) == groups(pairs) and len(set(groups(pairs))) > 10
+
+
+def test_near_texts_cuts_large_buckets(monkeypatch):
+    """Every two members of a bucket with different labels meet in a piece, and no piece is larger than two blocks."""
+    import numpy as np
+    import pyarrow as pa
+
+    from corpusloom.llm import near_texts
+
+    monkeypatch.setattr(near_texts, "BLOCK_ROWS", 8)
+    pick = np.random.default_rng(8)
+    bucket, label, node = np.sort(mix(pick, 3, 200)), pick.integers(0, 20, 200), np.arange(200)
+    rows = pa.record_batch([pa.array(c) for c in (bucket, label, node, np.ones(200, dtype=np.int64))], names=["bucket", "label", "node", "size"])
+    met = {}
+    for out in near_texts.pieces([rows]):
+        for piece, n, own in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            assert own == label[n]
+            met.setdefault(piece, []).append(n)
+    assert max(map(len, met.values())) <= 16 and len(met) > 10
+    together = {(a, b) for own in met.values() for a, b in itertools.combinations(sorted(own), 2)}
+    assert together >= {(a, b) for a, b in itertools.combinations(range(200), 2) if bucket[a] == bucket[b] and label[a] != label[b]}
+
+
+def mix(pick, kinds, n):
+    """``n`` values of so many random longs."""
+    return pick.integers(-(1 << 62), 1 << 62, kinds)[pick.integers(0, kinds, n)]
