@@ -134,6 +134,18 @@ def test_rows_that_share_an_id_lose_no_text(spark):
     assert got == sorted([(0, text), (1, text), (2, text), (2, "another text altogether, of its own")])
 
 
+def test_near_dedup_takes_op7s_operator(spark, monkeypatch):
+    """The stage's groups come from SimHash and Golay keys, by five-word shingles."""
+    from corpusloom.llm import simhash
+
+    asked, real = [], simhash.near_copies
+    monkeypatch.setattr(simhash, "near_copies", lambda df, *args, **named: asked.append(named) or real(df, *args, **named))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert asked == [{"n": 5}]
+    assert kept == smallest_of_similar({r.doc_id: r.text or "" for r in docs.collect()})
+
+
 def test_near_texts_hands_on_forests():
     """A bucket of many near texts hands on fewer links than it has members, and the components of all its pairs."""
     import numpy as np
