@@ -43,6 +43,22 @@ def _folder(spark: SparkSession, path: str):
     return of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``stored``, dealt out by ``key``, so that joins by it needn't move the table. It is a table of the session's catalog, which goes with the application."""
+    spark = df.sparkSession
+    table = f"loom_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/loom-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(partitions(spark), key).saveAsTable(table)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    files, of = _folder(spark, path)
+    files.deleteOnExit(of)
+    return spark.table(table)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which cuts lineage for good.
 

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks, spelling
-from .common import crc_of_id, drop_stored, hash_runs, mix64, partitions, stored, tidy
+from .common import crc_of_id, drop_stored, hash_runs, mix64, partitions, stored, stored_by, tidy
 
 DEPTH = 3
 LEAST_COUNT = 2
@@ -452,7 +452,8 @@ def score(df: DataFrame, held_out=lambda doc_id: crc_of_id(doc_id) % 7 == 2, id_
     sent = spark.sparkContext.broadcast(model)
     counts = chunks.answers(counted.where("chunk is not null").select("chunk", "bucket", "blob"), "answers")
     names = [c.split()[0] for c in _TOKENS.split(", ")]
-    read = stored(own.join(counts, "chunk", "left").mapInArrow(tidy(_tokens(sent, names)), _TOKENS), "tokens")
+    # every level joins answers to the tokens, which stay where they are
+    read = stored_by(own.join(counts, "chunk", "left").mapInArrow(tidy(_tokens(sent, names)), _TOKENS), "tokens", "chunk")
     drop_stored(own, counted)
     model.tree = None
 

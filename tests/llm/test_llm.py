@@ -801,3 +801,18 @@ def test_chunks_hold_every_row(odd):
                 names = c.rest().column("score").to_pylist()
                 seen += [(d, c.text(i).decode(), names[i]) for i, d in enumerate(c.doc_ids)]
         assert sorted(map(str, seen)) == sorted(str((d, t or "", s)) for d, t, s in ODD)
+
+
+def test_a_table_dealt_by_key_stays_in_joins(spark):
+    """The texts of op3 are joined with answers at every level; only the answers move."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import common
+
+    rows = spark.range(50).select(F.col("id").alias("chunk"), F.array("id").alias("own"))
+    table = common.stored_by(rows, "dealt", "chunk")
+    joined = table.join(rows.select("chunk", F.lit(1).alias("n")).hint("merge"), "chunk", "left")
+    assert joined._jdf.queryExecution().sparkPlan().toString().count("Scan parquet") == 1
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(r.chunk for r in joined.where("n = 1 and own[0] = chunk").collect()) == list(range(50))
+    common.drop_stored(table)
