@@ -146,8 +146,8 @@ def hash_runs(values: np.ndarray, table: np.ndarray, first: np.ndarray, sizes: n
     """A 64-bit hash of each run of ``values``, which follow each other without gaps. Each place in a run has its own factor."""
     out = np.zeros(len(first), dtype=np.uint64)
     at = 0
-    while at < len(first):  # some runs at a time, to bound memory
-        to = max(at + 1, int(np.searchsorted(first, first[at] + (1 << 20))))
+    while at < len(first):  # some runs at a time, to stay in the cache
+        to = max(at + 1, int(np.searchsorted(first, first[at] + (1 << 15))))
         a, b = int(first[at]), int(first[to - 1] + sizes[to - 1])
         place = np.arange(b - a) - np.repeat(first[at:to] - a, sizes[at:to])
         factor = (mix64(np.arange(5001, 5001 + int(sizes[at:to].max()), dtype=np.uint64)) | np.uint64(1))[place]

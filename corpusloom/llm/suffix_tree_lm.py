@@ -98,9 +98,33 @@ def gather(letters: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndar
     return letters[np.repeat(first - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)]
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """``mix64`` in place, a stretch that stays in the cache at a time."""
+    for at in range(0, len(x), 1 << 14):
+        part = x[at : at + (1 << 14)]
+        part[:] = mix64(part)
+    return x
+
+
+def in_order(x: np.ndarray) -> np.ndarray:
+    """``argsort`` of 64-bit values, equal ones in order of place. Sorts the upper bits with the places below them, which is several times faster where these tell the values apart."""
+    if not len(x):
+        return np.zeros(0, dtype=np.int64)
+    place, free = _U(len(x).bit_length()), _U(64 - int(x.max()).bit_length())
+    key = x << free
+    key >>= place
+    key <<= place
+    key |= np.arange(len(x), dtype=np.uint64)
+    key.sort()
+    key &= (_U(1) << place) - _U(1)
+    order = key.view(np.int64)
+    own = x[order]
+    return order if (own[1:] >= own[:-1]).all() else np.argsort(x, kind="stable")
+
+
 def unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each different value stands once, in order of value, and which of these each value is."""
-    order = np.argsort(x)
+    """Where each different value stands first, in order of value, and which of these each value is."""
+    order = in_order(x)
     ranked = x[order]
     new = np.r_[True, ranked[1:] != ranked[:-1]] if len(x) else np.zeros(0, dtype=bool)
     inverse = np.empty(len(x), dtype=np.int64)
@@ -112,7 +136,8 @@ def distinct(h: np.ndarray, letters: np.ndarray, first: np.ndarray, sizes: np.nd
     """One word for each different one, in order of hash, and which of these each word is; equal hashes are told apart by the bytes."""
     rep, inverse = unique(h)
     stands = rep[inverse]
-    if (sizes[stands] == sizes).all() and (letters == gather(letters, first[stands], sizes)).all():
+    parts = range(0, len(h), 1 << 13)  # some words at a time, which stay in the cache
+    if (sizes[stands] == sizes).all() and all((letters[first[a] : first[a] + sizes[a : a + (1 << 13)].sum()] == gather(letters, first[stands[a : a + (1 << 13)]], sizes[a : a + (1 << 13)])).all() for a in parts):
         return rep, inverse
     own: dict[tuple[int, bytes], list[int]] = {}
     for i, (value, a, n) in enumerate(zip(h.tolist(), first.tolist(), sizes.tolist(), strict=True)):
@@ -123,35 +148,75 @@ def distinct(h: np.ndarray, letters: np.ndarray, first: np.ndarray, sizes: np.nd
     return np.array([own[key][0] for key in order]), inverse
 
 
-class Vocabulary:
-    """The distinct words of a chunk in order of bucket and hash, and where each word of its texts is."""
+#: A chunk's distinct words in order of hash, with sizes and letters; its texts as numbers of them, the most frequent first, and which word each number is.
+_WORDS = "chunk bigint, doc_ids array<bigint>, sizes binary, hash binary, long binary, letters binary, number binary, ids binary"
 
-    def __init__(self, c: chunks.Chunk, buckets: int) -> None:
-        letters, first, sizes, self.row = words_of(c.data, c.ends)
+
+def _words(batches):
+    names = [c.split()[0] for c in _WORDS.split(", ")]
+    for c, _ in chunks.rows_of(batches, ()):
+        letters, first, sizes, row = words_of(c.data, c.ends)
         h = hashes(letters, first, sizes)
-        rep, self.where = distinct(h, letters, first, sizes)
-        self.hash = h[rep]
+        rep, where = distinct(h, letters, first, sizes)
+        order = np.argsort(-np.bincount(where, minlength=len(rep)), kind="stable")
+        number = np.empty(len(order), dtype=np.uint32)
+        number[order] = np.arange(len(order), dtype=np.uint32)
+        ids = number[where]
+        planes = np.concatenate([(ids >> 16).astype("<u2"), ids.astype("<u2")])
+        blobs = (np.bincount(row, minlength=len(c.doc_ids)).astype("<u4"), h[rep], sizes[rep].astype("<u4"), gather(letters, first[rep], sizes[rep]), order.astype("<u4"), planes)
+        yield pa.record_batch([pa.array([c.number], pa.int64()), pa.array([c.doc_ids], pa.list_(pa.int64())), *(pa.array([chunks.squeezed(x.tobytes())], pa.binary()) for x in blobs)], names=names)
+
+
+class Vocabulary:
+    """The distinct words of a chunk in order of bucket and hash."""
+
+    def __init__(self, buckets: int, own: bytes, long: bytes, letters: bytes, number: bytes) -> None:
+        self.hash = np.frombuffer(chunks.expanded(own), np.uint64)
         self.cut = np.searchsorted(chunks.bucket_of(self.hash, buckets), np.arange(buckets + 1))
-        self.sizes = sizes[rep]
-        self.letters = gather(letters, first[rep], self.sizes)
+        self.sizes = np.frombuffer(chunks.expanded(long), "<u4").astype(np.int64)
+        self.letters = np.frombuffer(chunks.expanded(letters), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.number = np.frombuffer(chunks.expanded(number), "<u4")
 
     def pick(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and letters of some of the words."""
         return self.sizes[some], self.letters[np.repeat(some, self.sizes)]
 
 
+def numbers(planes: bytes) -> np.ndarray:
+    data = np.frombuffer(chunks.expanded(planes), "<u2")
+    half = len(data) // 2
+    return data[:half].astype(np.int32) << 16 | data[half:]
+
+
+def rows_together(rows, names: list[str], kinds: list):
+    """Rows as Arrow batches of about a megabyte of blobs each; the last column is the blob."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= 1 << 20:
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+
 def _ask_words(buckets: int, held_out):
+    def asked(batches):
+        for b in batches:
+            for chunk, doc_ids, sizes, own, long, letters, number, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                v = Vocabulary(buckets, own, long, letters, number)
+                training = np.repeat([not held_out(d) for d in doc_ids], np.frombuffer(chunks.expanded(sizes), "<u4"))
+                count = np.zeros(len(v.hash), dtype=np.int64)
+                count[v.number] = np.bincount(numbers(ids), weights=training, minlength=len(v.hash)).astype(np.int64)
+                for k in np.flatnonzero(np.diff(v.cut)).tolist():
+                    lo, hi = v.cut[k], v.cut[k + 1]
+                    letters = v.letters[v.starts[lo] : v.starts[hi - 1] + v.sizes[hi - 1]]
+                    yield k, chunk, int(hi - lo), chunks.squeezed(v.hash[lo:hi].tobytes() + count[lo:hi].tobytes() + v.sizes[lo:hi].astype("<u4").tobytes() + letters.tobytes())
+
     def run(batches):
-        for c, _ in chunks.rows_of(batches, ()):
-            v = Vocabulary(c, buckets)
-            training = np.array([not held_out(d) for d in c.doc_ids], dtype=bool)
-            count = np.bincount(v.where, weights=training[v.row], minlength=len(v.hash)).astype(np.int64)
-            for k in np.flatnonzero(np.diff(v.cut)).tolist():
-                lo, hi = v.cut[k], v.cut[k + 1]
-                letters = v.letters[v.starts[lo] : v.starts[hi - 1] + v.sizes[hi - 1]]
-                blob = chunks.squeezed(v.hash[lo:hi].tobytes() + count[lo:hi].tobytes() + v.sizes[lo:hi].astype("<u4").tobytes() + letters.tobytes())
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([c.number], pa.int64()), pa.array([int(hi - lo)], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "chunk", "n", "blob"])
+        yield from rows_together(asked(batches), ["bucket", "chunk", "n", "blob"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()])
 
     return run
 
@@ -182,10 +247,13 @@ def _count_words(batches):
         known = rep[total > 0]
         sums = (int(total.sum()), len(known), int((total == 1).sum()), int((total == 2).sum()))
         yield row(None, bucket, None, sizes[known].astype("<u4").tobytes(), gather(letters, first[known], sizes[known]).tobytes(), *sums)
-        total, at = marked(total, inverse), 0
+        total, at, told = marked(total, inverse), 0, []
         for _, chunk, n, _ in rows:
-            yield row(chunk, bucket, chunks.squeezed(total[inverse[at : at + n]].astype("<u8").tobytes()), None, None, 0, 0, 0, 0)
+            told.append((chunk, bucket, chunks.squeezed(total[inverse[at : at + n]].astype("<u8").tobytes())))
             at += n
+        for b in rows_together(told, names[:3], kinds[:3]):
+            zero = pa.array(np.zeros(b.num_rows, dtype=np.int64))
+            yield pa.record_batch([*b.columns, *(pa.nulls(b.num_rows, pa.binary()) for _ in range(2)), *[zero] * 4], names=names)
 
 
 class Model:
@@ -221,29 +289,26 @@ _TOKENS = "chunk bigint, doc_ids array<bigint>, sizes binary, spelled binary, wo
 
 
 def _tokens(model, names):
-    """Each chunk's texts as numbers of its distinct words, the most frequent first, with their hashes and counts; and the spelling of each text's unknown words."""
+    """Each chunk's texts as numbers of its distinct words, with their hashes and counts; and the spelling of each text's unknown words."""
 
     def run(batches):
-        for c, (answers,) in chunks.rows_of(batches, ("answers",)):
-            m, n = model.value, len(c.doc_ids)
-            v = Vocabulary(c, m.buckets)
-            count = np.zeros(len(v.hash), dtype="<u8")
-            for a in answers or []:
-                lo, hi = v.cut[a["bucket"]], v.cut[a["bucket"] + 1]
-                count[lo:hi] = np.frombuffer(chunks.expanded(a["blob"]), "<u8", hi - lo)
-            own = np.zeros(len(v.hash))
-            new = count == 0
-            if m.tokens and new.any():
-                own[new] = m.tree.scores(*v.pick(new)) - m.rest
-            spelled = np.bincount(v.row, weights=own[v.where], minlength=n)
-            order = np.argsort(-np.bincount(v.where, minlength=len(v.hash)), kind="stable")
-            number = np.empty(len(order), dtype=np.uint32)
-            number[order] = np.arange(len(order), dtype=np.uint32)
-            ids = number[v.where]
-            blobs = (np.bincount(v.row, minlength=n).astype("<u4"), spelled, np.concatenate([v.hash[order], count[order]]))
-            planes = (ids >> 16).astype("<u2").tobytes() + ids.astype("<u2").tobytes()
-            cols = [pa.array([c.number], pa.int64()), pa.array([c.doc_ids], pa.list_(pa.int64())), *(pa.array([chunks.squeezed(x.tobytes())], pa.binary()) for x in blobs), pa.array([chunks.squeezed(planes)], pa.binary())]
-            yield pa.record_batch(cols, names=names)
+        for b in batches:
+            for chunk, doc_ids, sizes, own, long, letters, number, ids, answers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                m, n = model.value, len(doc_ids)
+                v = Vocabulary(m.buckets, own, long, letters, number)
+                count = np.zeros(len(v.hash), dtype="<u8")
+                for a in answers or []:
+                    lo, hi = v.cut[a["bucket"]], v.cut[a["bucket"] + 1]
+                    count[lo:hi] = np.frombuffer(chunks.expanded(a["blob"]), "<u8", hi - lo)
+                spelling_of = np.zeros(len(v.hash))
+                new = count == 0
+                if m.tokens and new.any():
+                    spelling_of[new] = m.tree.scores(*v.pick(new)) - m.rest
+                row = np.repeat(np.arange(n), np.frombuffer(chunks.expanded(sizes), "<u4"))
+                spelled = np.bincount(row, weights=spelling_of[v.number][numbers(ids)], minlength=n)
+                blobs = (spelled, np.concatenate([v.hash[v.number], count[v.number]]))
+                cols = [pa.array([chunk], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([sizes], pa.binary()), *(pa.array([chunks.squeezed(x.tobytes())], pa.binary()) for x in blobs), pa.array([ids], pa.binary())]
+                yield pa.record_batch(cols, names=names)
 
     return run
 
@@ -260,20 +325,21 @@ class Tokens:
         told = np.r_[own[known:].astype(np.int64), model.texts | SHARED, model.texts]
         count = told & (SHARED - 1)
         sizes = np.frombuffer(chunks.expanded(sizes), "<u4").astype(np.int64)
-        planes = np.frombuffer(chunks.expanded(ids), "<u2")
         said = np.arange(int(sizes.sum())) + 2 * np.repeat(np.arange(n), sizes) + 1
         starts = np.cumsum(sizes + 2) - sizes - 2
         self.ids = np.full(int(sizes.sum()) + 2 * n, known, dtype=np.int32)
-        self.ids[said] = planes[: len(said)].astype(np.int32) << 16 | planes[len(said) :]
+        self.ids[said] = numbers(ids)
         self.ids[starts] = known + 1
         self.text = np.repeat(np.arange(n, dtype=np.int32), sizes + 2)
         self.back = np.arange(len(self.ids), dtype=np.int32) - starts.astype(np.int32)[self.text]
         self.hash = np.r_[own[:known], END_HASH, START_HASH]
+        self.weight = self.training.astype(np.float64)[self.text]
+        self.by_level = [self.hash * by for by in BY_LEVEL]
+        self.nearest = mix64(self.by_level[1])  # hash of the context of one token
         self.count = count[self.ids]
         self.ln = model.root(count)[self.ids]
         self.before = np.r_[0, self.count[:-1]]  # count of the context of the next level
         self.so_far = told[self.ids]  # count of the symbol in the context of the level so far
-        self.context = np.zeros(len(self.ids), dtype=np.uint64)
         self.level = 0
         for k in range(1, 1 + max((a["level"] for a in answers or []), default=0)):
             self.ask()
@@ -283,43 +349,52 @@ class Tokens:
         """Go one level deeper: the distinct pairs of a context and a next symbol, in order of bucket."""
         self.level += 1
         k = self.level
-        self.context[k:] = mix64(self.context[k:] + self.hash[self.ids[:-k]] * BY_LEVEL[k])
         self.at = np.flatnonzero((self.back >= k) & (self.before >= LEAST_COUNT))
-        context, word = self.context[self.at], self.hash[self.ids[self.at]]
-        rep, inverse = unique(mix64(context + word * BY_LEVEL[0]))
-        context, word, often = context[rep], word[rep] >> _U(24), self.before[self.at[rep]]
-        shares = ((often - 1) // self.model.limit + 1).astype(np.uint64)
-        route = mix64(context + word % shares * SALT)
+        context = self.nearest[self.ids[self.at - 1]]
+        for j in range(2, k + 1):
+            context += self.by_level[j][self.ids[self.at - j]]
+            context = mixed(context)
+        rep, inverse = unique(mixed(context + self.by_level[0][self.ids[self.at]]))
+        pair_at = self.at[rep]
+        context, often = context[rep], self.before[pair_at]
+        route = context.copy()
+        hot = np.flatnonzero(often > self.model.limit)
+        route[hot] += (self.hash[self.ids[pair_at[hot]]] >> _U(24)) % ((often[hot] - 1) // self.model.limit + 1).astype(np.uint64) * SALT
+        route = mixed(route)
         buckets = self.model.buckets
         free = _U(min(48, 64 - buckets.bit_length()))
         route = chunks.bucket_of(route, buckets).astype(np.uint64) << free | route & ((_U(1) << free) - _U(1))
-        order = np.argsort(route, kind="stable")
+        order = in_order(route)
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         self.pair = place[inverse]  # of each asked place
-        route, self.pair_context, self.pair_word, self.pair_at = route[order], context[order], word[order], self.at[rep[order]]
+        route, self.pair_at, self.often = route[order], pair_at[order], often[order]
         turns = np.r_[True, route[1:] != route[:-1]] if len(order) else np.zeros(0, dtype=bool)
         self.run = np.cumsum(turns) - 1
         self.begins = np.r_[np.flatnonzero(turns), len(order)]
-        self.route = route & ((_U(1) << free) - _U(1))
-        self.cut = np.searchsorted(route >> free, np.arange(buckets + 1, dtype=np.uint64))
-        self.here = np.bincount(self.pair, weights=self.training[self.text[self.at]], minlength=len(order)).astype(np.int64)
+        heads = self.begins[:-1]
+        self.often_run, self.run_route = self.often[heads], route[heads] & ((_U(1) << free) - _U(1))
+        self.hot = np.flatnonzero(self.often_run > self.model.limit)
+        self.hot_context = context[order[heads[self.hot]]]
+        self.cut = np.r_[np.searchsorted(route, np.arange(buckets, dtype=np.uint64) << free), len(route)]
+        self.here = np.bincount(self.pair, weights=self.weight[self.at], minlength=len(order)).astype(np.int64)
         shorter = self.so_far[self.pair_at]
         self.known = np.where(shorter == 0, 0, np.where((shorter == 1) & (self.here == 1), 1, -1))  # counts without asking
 
     def questions(self):
         """``(bucket, pairs, runs, blob)``: contexts with their counts and sums of pairs known already, and the other next symbols with counts in this chunk and ln probabilities in the states so far."""
         ln = np.minimum(np.rint(-8 * self.ln[self.pair_at]), 255).astype(np.uint8)
+        words = self.hash[self.ids[self.pair_at]] >> _U(24)
         for k in np.flatnonzero(np.diff(self.cut)).tolist():
             lo, hi = self.cut[k], self.cut[k + 1]
             a, b = np.searchsorted(self.begins, [lo, hi])
-            heads, run, ask, one = self.begins[a:b], self.run[lo:hi] - a, self.known[lo:hi] < 0, self.known[lo:hi] == 1
-            often = self.before[self.pair_at[heads]]
-            word, rows = self.pair_word[lo:hi][ask], int(b - a)
+            run, ask, one = self.run[lo:hi] - a, self.known[lo:hi] < 0, self.known[lo:hi] == 1
+            often = self.often_run[a:b]
+            word, rows = words[lo:hi][ask], int(b - a)
             once = np.bincount(run[one], minlength=rows)
             gain = np.bincount(run[one], weights=ln[lo:hi][one] / 8 - np.log(often[run[one]]), minlength=rows)
-            step = np.diff(self.route[heads], prepend=_U(0))
-            hot = self.pair_context[heads[often > self.model.limit]]
+            step = np.diff(self.run_route[a:b], prepend=_U(0))
+            hot = self.hot_context[slice(*np.searchsorted(self.hot, [a, b]))]
             parts = ((step >> _U(32)).astype("<u4"), step.astype("<u4"), often.astype("<u8"), np.bincount(run[ask], minlength=rows).astype("<u4"), once.astype("<u4"), gain.astype("<f4"), (word >> _U(32)).astype(np.uint8), word.astype("<u4"), self.here[lo:hi][ask].astype("<u4"), ln[lo:hi][ask], hot)
             yield k, int(ask.sum()), rows, chunks.squeezed(b"".join(x.tobytes() for x in parts))
 
@@ -332,18 +407,19 @@ class Tokens:
             data = chunks.expanded(a["blob"])
             symbols[x:y] = np.frombuffer(data, "<u8", y - x)
             total[lo + np.flatnonzero(self.known[lo:hi] < 0)] = np.frombuffer(data, "<u8", -1, 8 * (y - x))
-        heads = self.begins[:-1]
-        hot = self.before[self.pair_at[heads]] > self.model.limit
-        symbols[hot] = self.model.spread_state(self.level, self.pair_context[heads[hot]])
+        symbols[self.hot] = self.model.spread_state(self.level, self.hot_context)
+        # all places of a pair have one probability
+        own, d = total & (SHARED - 1), symbols[self.run]
+        there = np.flatnonzero(d > 0)
+        ln = self.ln[self.pair_at]
+        ln[there] = np.log((np.maximum(own[there] - DISCOUNT, 0) + DISCOUNT * d[there] * np.exp(ln[there])) / self.often[there])
+        self.ln[self.at] = ln[self.pair]
+        told = total[self.pair]
         self.so_far = np.zeros_like(self.before)
-        self.so_far[self.at] = total[self.pair]
-        d, own, often = symbols[self.run][self.pair], self.so_far[self.at] & (SHARED - 1), self.before[self.at]
-        there = d > 0
-        at = self.at[there]
-        self.ln[at] = np.log((np.maximum(own[there] - DISCOUNT, 0) + DISCOUNT * d[there] * np.exp(self.ln[at])) / often[there])
+        self.so_far[self.at] = told
         self.before = np.zeros_like(self.before)
-        inside = self.at + 1 < len(self.before)
-        self.before[self.at[inside] + 1] = own[inside]
+        inside = len(self.at) - (len(self.at) > 0 and self.at[-1] + 1 == len(self.before))
+        self.before[self.at[:inside] + 1] = told[:inside] & (SHARED - 1)
 
 
 def _read(batches, model, held_out):
@@ -353,11 +429,14 @@ def _read(batches, model, held_out):
 
 
 def _questions(model, held_out):
-    def run(batches):
+    def asked(batches):
         for chunk, t in _read(batches, model, held_out):
             t.ask()
             for k, pairs, runs, blob in t.questions():
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([chunk], pa.int64()), pa.array([pairs], pa.int64()), pa.array([runs], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "chunk", "n", "runs", "blob"])
+                yield k, chunk, pairs, runs, blob
+
+    def run(batches):
+        yield from rows_together(asked(batches), ["bucket", "chunk", "n", "runs", "blob"], [pa.int32(), *[pa.int64()] * 3, pa.binary()])
 
     return run
 
@@ -400,11 +479,13 @@ def _states(limit: int):
             if len(hot):
                 yield pa.record_batch([pa.nulls(len(hot), pa.int64()), pa.array(np.full(len(hot), bucket), pa.int32()), pa.nulls(len(hot), pa.binary()), pa.array(contexts[hot].view(np.int64)), pa.array(symbols[hot], pa.int64()), pa.array(gain[hot])], names=names)
             state = np.where((gain >= LEAST_GAIN) & (occurs <= limit), symbols, 0)
-            total, at, start = marked(total, inverse), 0, 0
+            total, at, start, told = marked(total, inverse), 0, 0, []
             for _, chunk, n, runs, _ in rows:
                 blob = chunks.squeezed(state[state_of[start : start + runs]].astype("<u8").tobytes() + total[inverse[at : at + n]].astype("<u8").tobytes())
-                yield pa.record_batch([pa.array([x], k) for x, k in zip((chunk, bucket, blob, None, None, None), kinds, strict=True)], names=names)
+                told.append((chunk, bucket, blob))
                 at, start = at + n, start + runs
+            for b in rows_together(told, names[:3], kinds[:3]):
+                yield pa.record_batch([*b.columns, *(pa.nulls(b.num_rows, k) for k in kinds[3:])], names=names)
 
     return run
 
@@ -439,10 +520,12 @@ def score(df: DataFrame, held_out=lambda doc_id: crc_of_id(doc_id) % 7 == 2, id_
         for b in batches:
             yield pa.record_batch([pa.array([sum(not held_out(d) for d in ids) for ids in b.column(0).to_pylist()], pa.int64())], names=["n"])
 
-    texts = own.select("doc_ids").mapInArrow(tidy(trained), "n bigint").agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions(spark), own.count() * CHUNK_BYTES // BUCKET_BYTES)
+    numbered = stored_by(own.mapInArrow(tidy(_words), _WORDS), "words", "chunk")
+    drop_stored(own)
+    texts = numbered.select("doc_ids").mapInArrow(tidy(trained), "n bigint").agg(F.sum("n")).first()[0] or 0
+    buckets = max(partitions(spark), numbered.count() * CHUNK_BYTES // BUCKET_BYTES)
 
-    asked = own.mapInArrow(tidy(_ask_words(buckets, held_out)), "bucket int, chunk bigint, n bigint, blob binary")
+    asked = numbered.mapInArrow(tidy(_ask_words(buckets, held_out)), "bucket int, chunk bigint, n bigint, blob binary")
     counted = stored(chunks.spread(asked, buckets).mapInArrow(tidy(_count_words), _COUNTED), "counted")
     tokens, known, once, twice = (x or 0 for x in counted.agg(*(F.sum(x) for x in ("tokens", "known", "once", "twice"))).first())
     model = Model(buckets, texts, tokens + texts, known + (texts > 0), once + (texts == 1), twice + (texts == 2))
@@ -453,8 +536,8 @@ def score(df: DataFrame, held_out=lambda doc_id: crc_of_id(doc_id) % 7 == 2, id_
     counts = chunks.answers(counted.where("chunk is not null").select("chunk", "bucket", "blob"), "answers")
     names = [c.split()[0] for c in _TOKENS.split(", ")]
     # every level joins answers to the tokens, which stay where they are
-    read = stored_by(own.join(counts, "chunk", "left").mapInArrow(tidy(_tokens(sent, names)), _TOKENS), "tokens", "chunk")
-    drop_stored(own, counted)
+    read = stored_by(numbered.join(counts, "chunk", "left").mapInArrow(tidy(_tokens(sent, names)), _TOKENS), "tokens", "chunk")
+    drop_stored(numbered, counted)
     model.tree = None
 
     answers: list[DataFrame] = []

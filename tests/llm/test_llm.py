@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import SF
@@ -816,3 +817,29 @@ def test_a_table_dealt_by_key_stays_in_joins(spark):
     assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(r.chunk for r in joined.where("n = 1 and own[0] = chunk").collect()) == list(range(50))
     common.drop_stored(table)
+
+
+def test_lm_sorts_by_upper_bits(rng=np.random.default_rng(5)):
+    """The fast order is the stable one, also where the upper bits don't tell values apart."""
+    close = np.uint64(1 << 63) + rng.integers(0, 300, 5000).astype(np.uint64)
+    small, wide = rng.integers(0, 40, 5000).astype(np.uint64), rng.integers(0, 1 << 63, 700).astype(np.uint64) * np.uint64(2)
+    for x in (close, small, wide, np.repeat(wide, 3)[::-1], np.zeros(4, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.array([2**64 - 1, 0, 2**64 - 1], dtype=np.uint64)):
+        assert suffix_tree_lm.in_order(x).tolist() == np.argsort(x, kind="stable").tolist()
+
+
+def test_lm_asks_for_all_buckets_in_one_batch():
+    """A small chunk's questions to 40 buckets come together, not as a batch for each; its texts are taken apart once, and words come back whole."""
+    texts = [" ".join(f"W{i}" for i in range(300)), "", "w1 w2  w1"]
+    ends = np.cumsum([0, *map(len, texts)]).astype("<i8").tobytes()
+    row = (7, [1, 2, 3], ends, chunks.squeezed("".join(texts).encode()), b"")
+    kinds = (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3)
+    (words,) = suffix_tree_lm._words([pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=list(chunks.COLUMNS))])
+    (asked,) = suffix_tree_lm._ask_words(40, lambda d: d == 3)([words])
+    assert asked.num_rows > 30 and asked.column(0).to_pylist() == sorted(asked.column(0).to_pylist())
+    count = {}
+    for _, _, n, blob in zip(*(c.to_pylist() for c in asked.columns), strict=True):
+        data = chunks.expanded(blob)
+        sizes, letters = np.frombuffer(data, "<u4", n, 16 * n), data[20 * n :]
+        cut = np.cumsum([0, *sizes])
+        count |= {letters[a:b].decode(): c for a, b, c in zip(cut[:-1], cut[1:], np.frombuffer(data, np.int64, n, 8 * n).tolist(), strict=True)}
+    assert count == {f"w{i}": 1 for i in range(300)}  # w1 and w2 of the held-out text don't count
